@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .shared import table
 
 
@@ -21,8 +22,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe}
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
