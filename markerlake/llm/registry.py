@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .quality import op3_quality
 from .shared import table
 
 
@@ -22,7 +24,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe}
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op6_language_id": op6_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
