@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .near_dedup import op4_near_dedup
 from .quality import op3_quality
 from .shared import table
 
@@ -24,7 +25,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op6_language_id": op6_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
