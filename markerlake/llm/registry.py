@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op7_embedding_dedup
 from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .near_dedup import op4_near_dedup
@@ -25,7 +26,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id, "op7_embedding_dedup": op7_embedding_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
