@@ -10,6 +10,7 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .near_dedup import op4_near_dedup
 from .quality import op3_quality
 from .shared import table
+from .url_filter import OP8_SQL, op8_url_filter
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,8 +27,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id, "op7_embedding_dedup": op7_embedding_dedup}
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id, "op7_embedding_dedup": op7_embedding_dedup, "op8_url_filter": op8_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
