@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .embedding_dedup import op7_embedding_dedup
 from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -27,8 +28,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id, "op7_embedding_dedup": op7_embedding_dedup, "op8_url_filter": op8_url_filter}
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id, "op7_embedding_dedup": op7_embedding_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL}
