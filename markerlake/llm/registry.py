@@ -10,6 +10,7 @@ from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .near_dedup import op4_near_dedup
 from .pii import op10_pii
+from .planes import op5_token_planes
 from .quality import op3_quality
 from .shared import table
 from .url_filter import OP8_SQL, op8_url_filter
@@ -29,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_language_id": op6_language_id, "op7_embedding_dedup": op7_embedding_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
+    return {"op1_line_dedup": op1_line_dedup, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_token_planes": op5_token_planes, "op6_language_id": op6_language_id, "op7_embedding_dedup": op7_embedding_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
