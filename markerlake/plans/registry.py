@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import MarkerEngine
+from ..families import FAMILIES
 from ..functions import geometry as g
 from ..functions import scalars as s
 from ..operators import codes as c
@@ -568,3 +570,76 @@ def _(spark, d):
     first = e.agg(F.min("event_type").alias("t"))
     m = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
     return m.join(F.broadcast(first)).select("user_id", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.col("t")).alias("last"))  # one row
+
+
+# ---- markers ----
+
+_F16 = FAMILIES["tag16h5"]
+_VALUES = lambda rows: ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+
+
+@query(
+    "render_tag",
+    f"""WITH codes(id, code) AS (VALUES {_VALUES(enumerate(_F16.codes))}), bits(i, bx, by_) AS (VALUES {_VALUES((i, x, y) for i, (x, y) in enumerate(_F16.bits))}),
+lit AS (SELECT id, by_ + 1 AS y, bx + 1 AS x FROM codes, bits WHERE (code >> (15 - i)) & 1 = 1),
+grid AS (SELECT id, y, x FROM codes, range(8) a(y), range(8) b(x))
+SELECT g.id::BIGINT AS id, g.y::BIGINT AS y, g.x::BIGINT AS x, (CASE WHEN g.y IN (0, 7) OR g.x IN (0, 7) OR lit.id IS NOT NULL THEN 255 ELSE 0 END)::BIGINT AS v
+FROM grid g LEFT JOIN lit ON lit.id = g.id AND lit.y = g.y AND lit.x = g.x""",
+)
+def _(spark, d):
+    return out(MarkerEngine(spark, ["tag16h5"]).render(), "id", "y", "x", "v")
+
+
+def scenes(spark: SparkSession, d: str) -> DataFrame:
+    """An image for each part: the marker of its key, enlarged eight times, on white."""
+    import pandas as pd
+
+    from ..operators.detect import render
+
+    def draw(batches):
+        import numpy as np
+
+        for b in batches:
+            rows = []
+            for k in b.p_partkey:
+                im = np.full((128, 128), 255, np.uint8)
+                im[32:96, 32:96] = np.kron(np.rot90(render(_F16, k % len(_F16.codes)), k % 4), np.ones((8, 8), np.uint8))
+                rows.append((str(k), 128, 128, im.tobytes()))
+            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "buf"])
+
+    return v.table(spark, d, "part").select("p_partkey").mapInPandas(draw, "image_id string, width int, height int, buf binary")
+
+
+@query("detect_markers", f"SELECT p_partkey AS image_id, p_partkey % {len(_F16.codes)} AS id, CAST(0 AS BIGINT) AS hamming FROM part")
+def _(spark, d):
+    found = MarkerEngine(spark, ["tag16h5"]).detect(scenes(spark, d))
+    return out(found, "image_id", "id", "hamming")
+
+
+@query("pose_markers")
+def _(spark, d):
+    engine = MarkerEngine(spark, ["tag16h5"])
+    sizes = spark.createDataFrame([("tag16h5", 0.16)], "family string, tagsize double")
+    poses = engine.pose(engine.detect(scenes(spark, d)), sizes, 600, 600, 64, 64)
+    return poses.select("image_id", "id", *(F.round(F.get("t", F.lit(k)), 4).alias(n) for k, n in enumerate(("tx", "ty", "tz"))))
+
+
+@query("homography_solve", "SELECT p_partkey AS id, CAST(1000 AS BIGINT) AS checked FROM part")
+def _(spark, d):
+    """Four-point homographies, solved for each part and checked by projecting the unit square: 1000 where all four
+    corners are met."""
+    import pandas as pd
+
+    from ..operators.detect import SQUARE, homography, project
+
+    def solve(batches):
+        import numpy as np
+
+        for b in batches:
+            ok = []
+            for k in b.id:
+                q = SQUARE * (20 + k % 7) + np.array(((k % 3, 1), (2, k % 5), (k % 4, 3), (1, k % 2)))
+                ok.append(1000 if np.abs(project(homography(SQUARE, q), SQUARE) - q).max() < 1e-6 else 0)
+            yield pd.DataFrame({"id": b.id, "checked": ok})
+
+    return v.table(spark, d, "part").select(F.col("p_partkey").alias("id")).mapInPandas(solve, "id long, checked long")
