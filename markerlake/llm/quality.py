@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are built from good and from bad labelled texts. A text is cut into blocks, each
 block is compressed with either dictionary, and the sums of sizes give the normalised difference
-(bad - good) / (bad + good). A logistic curve, fitted on labelled texts that built no dictionary, turns the
-difference into a score: the probability of label 1.
+(bad - good) / (bad + good). Endless repetition compresses to next to nothing with either dictionary, which the
+difference cannot show, so the logarithm of the better size over the text's own size stands beside it. A logistic
+curve over both, fitted on labelled texts that built no dictionary, gives the score: the probability of label 1.
 
 Cases: null and empty text score as the share of label 1 among the texts of the curve; without labels of both
 kinds every score is that share (0.5 without labels); labels that are null, or that differ for one id, are left
@@ -49,26 +50,30 @@ class Sizes:
             data.precompute_compress(level=LEVEL)
             self.compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
-    def difference(self, text: str) -> float:
+    def features(self, text: str) -> tuple[float, float]:
+        """(difference, log ratio) of a text that is not empty."""
         bad = good = 0
-        for b in _blocks(text.encode()):
+        raw = text.encode()
+        for b in _blocks(raw):
             bad += len(self.compress[0](b))
             good += len(self.compress[1](b))
-        return (bad - good) / (bad + good)
+        return (bad - good) / (bad + good), math.log(min(bad, good) / len(raw))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope and intercept of the logistic curve over x scaled by its spread, by Newton steps with a small ridge."""
-    scale = max(float(np.std(x)), 1e-9)
-    m = np.stack((x / scale, np.ones_like(x)), 1)
-    w, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
+    """Weights and share of label 1 of the logistic curve over the columns of x and a constant, by Newton steps on
+    columns scaled by their spread, with a small ridge."""
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    m = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w, ridge = np.zeros(m.shape[1]), np.diag([*[1e-2] * x.shape[1], 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
         step = np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + ridge, m.T @ (y - p) - ridge @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1]), float(y.mean())
+    slopes = w[:-1] / scale
+    return [*slopes.tolist(), float(w[-1] - slopes @ mean)], float(y.mean())
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 48_000_000, dictionary_size: int = 65_536) -> dict:
@@ -90,10 +95,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: i
     first, second = ordered[::2], ordered[1::2]
     kinds = [[t for t, q in first if q == k] for k in (0, 1)]
     if not all(kinds) or len({q for _, q in second}) < 2:
-        return {"dictionaries": [], "curve": (0.0, 0.0, share)}
+        return {"dictionaries": [], "curve": ([0.0, 0.0, 0.0], share)}
     dictionaries = [_dictionary(k, dictionary_size) for k in kinds]
     sizes = Sizes(dictionaries)
-    x = np.array([sizes.difference(t.decode()) for t, _ in second])
+    x = np.array([sizes.features(t.decode()) for t, _ in second])
     return {"dictionaries": dictionaries, "curve": _curve(x, np.array([q for _, q in second], float))}
 
 
@@ -107,7 +112,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
 
     def run(batches):
-        slope, offset, share = model["curve"]
+        (slope, steep, offset), share = model["curve"]
         sizes = None
         if model["dictionaries"]:
             key = tuple(model["dictionaries"])
@@ -118,7 +123,8 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
                 if not t or sizes is None:
                     out.append(share)
                 else:
-                    out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, slope * sizes.difference(t) + offset)))))
+                    difference, ratio = sizes.features(t)
+                    out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, slope * difference + steep * ratio + offset)))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.float64())], names=[*keep, "score"])
 
     return docs.select(*keep).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
