@@ -607,7 +607,8 @@ def scenes(spark: SparkSession, d: str) -> DataFrame:
                 rows.append((str(k), 128, 128, im.tobytes()))
             yield pd.DataFrame(rows, columns=["image_id", "width", "height", "buf"])
 
-    return v.table(spark, d, "part").select("p_partkey").mapInPandas(draw, "image_id string, width int, height int, buf binary")
+    keys = v.table(spark, d, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)  # one small file
+    return keys.mapInPandas(draw, "image_id string, width int, height int, buf binary")
 
 
 @query("detect_markers", f"SELECT p_partkey AS image_id, p_partkey % {len(_F16.codes)} AS id, CAST(0 AS BIGINT) AS hamming FROM part")
