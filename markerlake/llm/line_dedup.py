@@ -79,6 +79,12 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
         drop_path(self.spark, run[1])
 
+    def clear(self) -> None:
+        for level in self.levels:
+            for run in level:
+                self._drop(run)
+        self.levels = []
+
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
@@ -135,6 +141,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     for k in range(batches):
         runs.add(keys.filter(F.col("batch") == k).drop("batch"))
     gone = written(runs.repeated(min_docs), "line-repeated")
+    runs.clear()
     hits = (
         keys.join(broadcast_if_small(gone, gone.count(), 100_000), ["h1", "h2"])
         .filter(F.col("doc_id") != F.col("max_doc"))
