@@ -31,9 +31,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors. Where a bound on
+    its rows is known, small tables go to few files: one for each 100,000 rows."""
     path = new_path(df.sparkSession, tag)
+    if rows is not None and (parts := rows // 100_000 + 1) < shuffle_partitions(df.sparkSession):
+        df = df.coalesce(parts)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
