@@ -97,9 +97,9 @@ def forest_candidates(reps: DataFrame, trees: int, ahead: int, least_prefix: int
 
 def crowded_candidates(reps: DataFrame, trees: int, wide: int, least_prefix: int, percent: int) -> DataFrame:
     """(a, b) with a < b: wide neighbours whose components differ and whose signatures agree on no fewer values
-    than four standard deviations below the share asked for. reps: (doc_id, sig, component)."""
+    than three standard deviations below the share asked for. reps: (doc_id, sig, component)."""
     share = percent / 100
-    least = int(SIZE * (share - 4 * (share * (1 - share) / SIZE) ** 0.5))
+    least = int(SIZE * (share - 3 * (share * (1 - share) / SIZE) ** 0.5))
 
     def agree(own, x, y):
         sig, component = own
@@ -128,7 +128,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; sizes alone rule many out first."""
-    ids = written(pairs.select(F.col("a").alias("_i")).union(pairs.select(F.col("b").alias("_i"))).distinct(), "near-ids")
+    n = pairs.count()
+    ids = written(pairs.select(F.col("a").alias("_i")).union(pairs.select(F.col("b").alias("_i"))).distinct(), "near-ids", 2 * n)
     held = docs.join(broadcast_if_small(ids, ids.count()), F.col("doc_id").cast("long") == F.col("_i"), "left_semi")
     sets = written(shingle_sets(held, words), "near-sets")
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), F.size("s").alias(f"n{x}")) for x in "ab")
@@ -151,7 +152,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, **forest: int
     return sized.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 32, ahead: int = 3, least_prefix: int = 3, crowd: int = 16, wide: int = 64) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 32, ahead: int = 1, least_prefix: int = 3, crowd: int = 4, wide: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     rows = written(signatures(docs, words), "near-signatures")
     solid = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -162,7 +163,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     pairs = written(forest_candidates(reps, trees, ahead, least_prefix), "near-pairs")
     links = written(verified(docs, pairs, words, percent), "near-links")
     ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
-    crowded = written(ends.groupBy("doc_id").count().filter(F.col("count") >= crowd).select("doc_id"), "near-crowded")
+    crowded = written(ends.groupBy("doc_id").count().filter(F.col("count") >= crowd).select("doc_id"), "near-crowded", 2 * pairs.count() // crowd)
     if many := crowded.count():
         so_far = components(links)
         again = reps.join(broadcast_if_small(crowded, many), "doc_id").join(so_far, F.col("doc_id") == F.col("id"), "left")
