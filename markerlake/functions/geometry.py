@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 PARALLEL = 1e-8
 
@@ -100,3 +104,26 @@ def project(h: Column, x: Column, y: Column) -> Column:
     at = lambda k: F.get(h, F.lit(k))
     w = at(6) * x + at(7) * y + at(8)
     return F.struct(((at(0) * x + at(1) * y + at(2)) / w).alias("x"), ((at(3) * x + at(4) * y + at(5)) / w).alias("y"))
+
+
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Lower chain, then upper chain, of the sorted points; collinear ones are left out."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+
+    def chain(ordered):
+        found: list[tuple[float, float]] = []
+        for p in ordered:
+            while len(found) > 1 and (found[-1][0] - found[-2][0]) * (p[1] - found[-2][1]) <= (found[-1][1] - found[-2][1]) * (p[0] - found[-2][0]):
+                found.pop()
+            found.append(p)
+        return found[:-1]
+
+    return chain(points) + chain(points[::-1])
+
+
+@F.pandas_udf(POINTS)
+def convex_hull(points: pd.Series) -> pd.Series:
+    """The hull of an array of points, counter-clockwise from its leftmost corner; null stays null."""
+    return pd.Series([None if ps is None else [{"x": x, "y": y} for x, y in _hull([(p["x"], p["y"]) for p in ps])] for ps in points])

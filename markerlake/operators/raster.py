@@ -156,6 +156,33 @@ def draw_disc(px: DataFrame, x0: float, y0: float, r0: float, r1: float, value:
     return px.withColumn("v", F.when(d.between(r0 * r0, r1 * r1), value).otherwise(F.col("v")))
 
 
+def draw_line(px: DataFrame, x0: float, y0: float, x1: float, y1: float, value: int, width: int = 1) -> DataFrame:
+    """Pixels met by half-pixel steps along a segment take the value; a width over 1 covers 2x2 pixels at each step.
+    The steps of one segment are a bounded table of at most two for each pixel of its length."""
+    import math
+
+    spark = px.sparkSession
+    length = math.hypot(x1 - x0, y1 - y0)
+    if length == 0:
+        return px
+    share = F.col("id") * 0.5 / length
+    at = spark.range(int(length * 2) + 1).select(F.floor(x1 + share * (x0 - x1)).cast("int").alias("x"), F.floor(y1 + share * (y0 - y1)).cast("int").alias("y"))
+    if width > 1:
+        at = at.select(F.explode(F.array(*(F.struct((F.col("y") + b).alias("y"), (F.col("x") + a).alias("x")) for a in (0, 1) for b in (0, 1)))).alias("p")).select("p.*")
+    hit = at.distinct().withColumn("hit", F.lit(True))
+    return px.join(F.broadcast(hit), ["y", "x"], "left").select("image_id", "y", "x", F.when(F.col("hit"), value).otherwise(F.col("v")).alias("v"))
+
+
+def fill_line_max(px: DataFrame, x0: float, y0: float, x1: float, y1: float, table: list[int], scale: float) -> DataFrame:
+    """Each pixel becomes at least table[squared distance of its centre to the segment * scale], where that exists."""
+    ux, uy = x1 - x0, y1 - y0
+    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * ux + (y - y0) * uy) / max(ux * ux + uy * uy, 1e-12)))
+    dx, dy = x - (x0 + t * ux), y - (y0 + t * uy)
+    light = F.get(F.array(*map(F.lit, table)), F.floor((dx * dx + dy * dy) * scale).cast("int"))
+    return px.withColumn("v", F.greatest("v", F.coalesce(light, F.lit(0))))
+
+
 def plane_fit(px: DataFrame, keys: list[str]) -> DataFrame:
     """Least squares of v = a x + b y + c for each key, from nine sums and Cramer's rule; null where singular."""
     x, y, v = (F.col(c).cast("double") for c in ("x", "y", "v"))

@@ -40,7 +40,7 @@ def test_matrices(spark):
         assert np.allclose(back(r[k]), w), k
     assert math.isclose(r.det, np.linalg.det(a)) and np.allclose(r.svd.s, np.linalg.svd(a)[1]) and np.allclose(back(r.svd.u) @ np.diag(r.svd.s) @ back(r.svd.v).T, a)
     assert back(r.none) is None and r["shape"] is None
-    assert math.isclose(r.dot, float(v.T @ v)) and math.isclose(r.err, np.abs(a - b).max()) and math.isclose(r.top, a.max()) and math.isclose(r.dist, np.linalg.norm(a - b))
+    assert math.isclose(r.dot, float((v * v).sum())) and math.isclose(r.err, np.abs(a - b).max()) and math.isclose(r.top, a.max()) and math.isclose(r.dist, np.linalg.norm(a - b))
     for bad in ("M+", "M)", "(M", "M M", "x"):
         with pytest.raises(ValueError):
             mx.evaluate(bad, mat(a))
@@ -65,3 +65,18 @@ def test_rigid(spark):
     assert np.allclose(np.array(r.one).reshape(4, 4), np.eye(4)) and np.allclose(r.q, r.q2) and np.allclose(r.unit, (1, 0, 0, 0))
     assert np.allclose(r.axis, k) and math.isclose(r.angle, angle) and np.allclose(r.mid, r.half) and np.allclose(r.rpy, (0.1, -0.4, 1.2))
     assert np.allclose(r.plane, 0) and np.allclose(r.xyt, (1, 2, 0.5)) and np.allclose(r.point, (1 + math.cos(0.5), 2 + math.sin(0.5))) and r.cross == [0, 0, 1]
+
+
+def test_drawing_and_hull(spark):
+    from markerlake.functions import geometry as g
+    from markerlake.operators import raster
+
+    px = spark.createDataFrame([(0, y, x, 10) for y in range(6) for x in range(8)], "image_id int, y int, x int, v int")
+    line = {(r.y, r.x) for r in raster.draw_line(px, 1.2, 1.2, 5.2, 3.2, 99).collect() if r.v == 99}
+    assert {(1, 1), (3, 5)} <= line and len(line) in (5, 6, 7)
+    assert len([1 for r in raster.draw_line(px, 1, 1, 5, 3, 99, width=2).collect() if r.v == 99]) > len(line)
+    near = {(r.y, r.x): r.v for r in raster.fill_line_max(px, 2.5, 2.5, 5.5, 2.5, [200, 50], 1.0).collect()}
+    assert near[2, 3] == 200 and near[3, 3] == 50 and near[5, 0] == 10
+    pts = F.array(*(g.point(float(x), float(y)) for x, y in ((0, 0), (4, 0), (2, 0), (4, 4), (0, 4), (2, 2), (0, 0))))
+    r = spark.range(1).select(g.convex_hull(pts).alias("h"), g.closest_on_boundary(pts, g.point(2, -3)).alias("c"), g.crossings(F.array(g.point(0, 0), g.point(4, 0), g.point(4, 4), g.point(0, 4)), F.lit(1.0)).alias("x")).first()
+    assert [(p.x, p.y) for p in r.h] == [(0, 0), (4, 0), (4, 4), (0, 4)] and (r.c.x, r.c.y) == (2, 0) and r.x == [0, 4]
