@@ -40,6 +40,15 @@ def test_words_as_the_library(lib):
     assert not bad, bad[:3]
 
 
+def test_library_words(lib):
+    from markerlake.llm.bpe import encoder
+
+    enc = encoder(tokenizer_path(), library=True)
+    texts = odd_texts()
+    got = [[i for p in pieces for i in p] for pieces in enc.ids(texts)]
+    assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_long_text(lib, monkeypatch):
     import markerlake.llm.bpe as m
 
