@@ -1,14 +1,15 @@
 """MinHash near-dedup by an LSH forest.
 
 Each document's set of word shingles gets a MinHash signature. Documents with equal sets are one class, and its
-smallest id stands for it. Every tree orders the classes by another run of signature values; in a tree's order
-the next `ahead` neighbours whose longest common prefix has at least `least_prefix` values are candidates. In a
-sparse region such neighbours share a short prefix, in a dense one only long prefixes are that near, so the depth
-follows the region. Documents with many candidates are looked at again: in crowded regions the window is `wide`,
-and of its pairs those are new candidates whose components still differ and whose signatures agree on enough
-values. Orders are dealt by range over (tree, signature): equal sets are one row, so even a large
-group of near copies is cut by its deeper values and no task holds a region. Candidates are verified on full
-sets; verified links give components, contracted in rounds over written tables.
+smallest id stands for it. Every tree orders the classes by another run of signature values. First looks: in a
+tree's order the next `ahead` neighbours whose longest common prefix has at least `least_prefix` values are
+candidates, a few trees first, then in all trees those whose components still differ. They only save work. Last
+look: every run of at least `crowd` classes with an equal prefix of `least_prefix` values that holds several
+components is searched whole, in blocks of `wide` rows against each other, and all its pairs whose components
+differ are candidates, but for those whose signatures agree on so few values that a pair at the share asked for
+has a chance below `MISS` of it. Orders are dealt by range, so no task holds a region. Candidates are verified on
+full sets, which travel once for each pair of blocks; verified links give components, contracted in rounds over
+written tables.
 
 Cases: a text with fewer words than a shingle has one shingle, its whole sequence; null text, empty text and text
 without words have none and link with nothing; equal sets are linked; rows with a null id link with nothing and
@@ -18,9 +19,12 @@ enters with its whole set; columns called n_shingles, component_id or kept are r
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ from .hashing import MinHash, shingles, word_hashes
 from .shared import broadcast_if_small, shuffle_partitions, table, written
 
 SIZE, DEPTH = 128, 12
+FIRST, MISS, BLOCK = 8, 1e-9, 128
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -50,31 +55,31 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def _orders(reps: DataFrame, trees: int, *more: str) -> DataFrame:
-    """Rows (doc_id, t, key, *more), sorted by (t, key) within partitions dealt by range."""
+def _orders(reps: DataFrame, trees: int, depth: int, some: range, *more: str) -> DataFrame:
+    """Rows (doc_id, t, key, *more) of some of the trees, sorted by (t, key, *more) within partitions dealt by range."""
     step = max(1, SIZE // trees)
     twice = F.concat("sig", "sig")
-    keys = F.array(*(F.struct(F.lit(t).cast("short").alias("t"), F.substring(twice, 2 * (t * step % SIZE) + 1, 2 * DEPTH).alias("key")) for t in range(trees)))
+    keys = F.array(*(F.struct(F.lit(t).cast("short").alias("t"), F.substring(twice, 2 * (t * step % SIZE) + 1, 2 * depth).alias("key")) for t in some))
     rows = reps.select("doc_id", F.explode(keys).alias("k"), *more).select("doc_id", "k.t", "k.key", *more)
-    return rows.repartitionByRange(shuffle_partitions(reps.sparkSession), "t", "key").sortWithinPartitions("t", "key")
+    by = ("t", "key", *more, "doc_id")
+    return rows.repartitionByRange(shuffle_partitions(reps.sparkSession), *by).sortWithinPartitions(*by)
 
 
-def _neighbours(batches, ahead: int, least_prefix: int, extra, agree):
-    """Batches of (a, b) from sorted rows. extra: gives further arrays of a batch; agree: keeps pairs by them."""
+def _neighbours(batches, ahead: int, least_prefix: int):
+    """Batches of (a, b) from sorted rows: pairs whose components differ."""
     last = None
     for b in batches:
         if not b.num_rows:
             continue
-        new = [b.column("doc_id").to_numpy(), b.column("t").to_numpy(), _values(b.column("key"), DEPTH), *extra(b)]
+        new = [b.column("doc_id").to_numpy(), b.column("t").to_numpy(), _values(b.column("key"), DEPTH), b.column("component").to_numpy()]
         old = 0 if last is None else len(last[0])
         rows = new if last is None else [np.concatenate(x) for x in zip(last, new)]
-        ids, t, key, *own = rows
+        ids, t, key, component = rows
         found = []
         for k in range(1, min(ahead + 1, len(ids))):
             lo = max(0, old - k)  # pairs within the carried rows are out already
             x = np.arange(lo, len(ids) - k)
-            x = x[(t[x + k] == t[x]) & (key[x + k, :least_prefix] == key[x, :least_prefix]).all(1)]
-            x = x[agree(own, x, x + k)] if own else x
+            x = x[(t[x + k] == t[x]) & (component[x + k] != component[x]) & (key[x + k, :least_prefix] == key[x, :least_prefix]).all(1)]
             found.append(np.stack((ids[x], ids[x + k])))
         if found:
             pair = np.sort(np.concatenate(found, 1), 0)
@@ -86,31 +91,124 @@ def _values(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
 
 
-def forest_candidates(reps: DataFrame, trees: int, ahead: int, least_prefix: int) -> DataFrame:
-    """(a, b) with a < b: neighbours in any tree's order, each pair once."""
+def forest_candidates(reps: DataFrame, trees: int, some: range, ahead: int, least_prefix: int) -> DataFrame:
+    """(a, b) with a < b: neighbours in the order of some trees, each pair once. reps: (doc_id, sig, component)."""
 
     def run(batches):
-        yield from _neighbours(batches, ahead, least_prefix, lambda b: [], None)
+        yield from _neighbours(batches, ahead, least_prefix)
+
+    # The key comes before the component in the order: neighbours are those of the longest prefix.
+    return _orders(reps, trees, DEPTH, some, "component").mapInArrow(run, "a long, b long").filter("a < b").distinct()
 
-    return _orders(reps, trees).mapInArrow(run, "a long, b long").filter("a < b").distinct()
 
+def _least_agreeing(share: float) -> int:
+    """The most values for which a pair at the share agrees on fewer with a chance of at most MISS."""
+    chance = 0.0
+    for k in range(SIZE):
+        chance += comb(SIZE, k) * share**k * (1 - share) ** (SIZE - k)
+        if chance > MISS:
+            return k
+    return SIZE
 
-def crowded_candidates(reps: DataFrame, trees: int, wide: int, least_prefix: int, percent: int) -> DataFrame:
-    """(a, b) with a < b: wide neighbours whose components differ and whose signatures agree on no fewer values
-    than three standard deviations below the share asked for. reps: (doc_id, sig, component)."""
-    share = percent / 100
-    least = int(SIZE * (share - 3 * (share * (1 - share) / SIZE) ** 0.5))
 
-    def agree(own, x, y):
-        sig, component = own
-        apart = component[x] != component[y]
-        apart[apart] = (sig[x[apart]] == sig[y[apart]]).sum(1) >= least
-        return apart
+def _groups(batches, names: list[str]):
+    """Tables of whole groups, rows of equal names that follow each other, from sorted batches."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = pa.Table.from_batches([b])
+        rows = new if held is None else pa.concat_tables([held, new])
+        key = [rows.column(n).to_numpy() for n in names]
+        same = np.logical_and.reduce([k == k[-1] for k in key])
+        start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if start:
+            yield rows.slice(0, start)
+        held = rows.slice(start)
+    if held is not None:
+        yield held
+
+
+def _runs(batches, wide: int, crowd: int):
+    """Rows (t, key, block, doc_id, component) of runs of equal (t, key), cut into blocks of `wide` rows; runs that
+    end within the rows and hold one component, or fewer than `crowd` rows, are left out."""
+    block = TaskContext.get().partitionId() << 40
+    held, first = [], True
+
+    def cut(rows: pa.Table, whole: bool):
+        nonlocal block
+        c = rows.column("component").to_numpy()
+        if whole and (len(c) < crowd or (c == c[0]).all()):
+            return
+        number = block + np.arange(len(c)) // wide
+        block = int(number[-1]) + 1
+        yield from rows.append_column("block", pa.array(number)).select(["t", "key", "block", "doc_id", "component"]).combine_chunks().to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.concat_tables([*held, pa.Table.from_batches([b])])
+        t, key = rows.column("t").to_numpy(), np.array(rows.column("key").to_pylist(), object)
+        component = rows.column("component").to_numpy()
+        at = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+        starts, ends = np.append(0, at), np.append(at, len(t))
+        # The last run may go on, and the first of a partition may have begun before it.
+        long = ends - starts >= crowd
+        mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        for k in np.flatnonzero(long & mixed | (np.arange(len(starts)) == 0) & first):
+            if k < len(starts) - 1:
+                yield from cut(rows.slice(starts[k], ends[k] - starts[k]), not (first and k == 0))
+        first = first and len(starts) == 1
+        held = [rows.slice(starts[-1])]
+    if held:
+        yield from cut(held[0], False)
+
+
+def _apart(batches, trees: int, least_prefix: int, least: int):
+    """Batches of (a, b) from rows sorted by (x, y), the pair of blocks: pairs of the two blocks, or of one with
+    itself, whose components differ and whose signatures agree on enough values, in the first tree they share."""
+    step = max(1, SIZE // trees)
+    at = (np.arange(trees)[:, None] * step % SIZE + np.arange(least_prefix)) % SIZE
+    for rows in _groups(batches, ["x", "y"]):
+        x, y, t, ids, component, block = (rows.column(n).to_numpy() for n in ("x", "y", "t", "doc_id", "component", "block"))
+        sig = _values(rows.column("sig"), SIZE)
+        i, k = np.arange(len(x)), 0
+        while len(i):
+            k += 1
+            i = i[i + k < len(x)]
+            i = i[(x[i] == x[i + k]) & (y[i] == y[i + k])]
+            p = i[(component[i] != component[i + k]) & ((x[i] == y[i]) | (block[i] != block[i + k]))]
+            if not len(p):
+                continue
+            same = sig[p] == sig[p + k]
+            near = same.sum(1) >= least
+            p, same = p[near], same[near]
+            p = p[same[:, at].all(2).argmax(1) == t[p]]
+            if len(p):
+                pair = np.sort(np.stack((ids[p], ids[p + k])), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+
+def region_candidates(reps: DataFrame, trees: int, wide: int, crowd: int, least_prefix: int, percent: int) -> DataFrame:
+    """(a, b) with a < b, each once: all pairs of a run whose components differ and whose signatures agree on
+    enough values. reps: (doc_id, sig, component)."""
+    least = _least_agreeing(percent / 100)
+
+    def cut(batches):
+        yield from _runs(batches, wide, crowd)
 
     def run(batches):
-        yield from _neighbours(batches, wide, least_prefix, lambda b: [_values(b.column("sig"), SIZE), b.column("component").to_numpy()], agree)
+        yield from _apart(batches, trees, least_prefix, least)
 
-    return _orders(reps, trees, "sig", "component").mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    rows = _orders(reps, trees, least_prefix, range(trees), "component")
+    rows = written(rows.mapInArrow(cut, "t short, key binary, block long, doc_id long, component long"), "near-runs")
+    blocks = rows.groupBy("t", "key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    left, right = (blocks.select("t", "key", *(F.col(c).alias(f"{c}{x}") for c in ("block", "lo", "hi"))) for x in "xy")
+    both = left.join(right, ["t", "key"]).filter("blockx <= blocky AND NOT (lox = hix AND loy = hiy AND lox = loy)")
+    each = both.select(F.col("blockx").alias("x"), F.col("blocky").alias("y"), F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"))
+    dealt = each.join(rows.drop("key"), "block").join(reps.select("doc_id", "sig"), "doc_id")
+    dealt = dealt.repartition(shuffle_partitions(reps.sparkSession), "x", "y").sortWithinPartitions("x", "y")
+    return dealt.select("x", "y", "t", "doc_id", "component", "block", "sig").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -126,18 +224,60 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
+def _numbered(batches):
+    """(id, block): rows in order, BLOCK of them a block."""
+    block, n = TaskContext.get().partitionId() << 40, 0
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(block + (n + np.arange(b.num_rows)) // BLOCK)], names=["id", "block"])
+        n += b.num_rows
+
+
+def _linked(batches, percent: int):
+    """Batches of linked (a, b) from rows sorted by (x, y, b): sets (b null) before the pairs of the blocks."""
+    for rows in _groups(batches, ["x", "y"]):
+        sets, linked, last = {}, [], None
+        flat, b = rows.column("s").combine_chunks(), rows.column("b").to_pylist()
+        for k, (x, y, i) in enumerate(zip(*(rows.column(n).to_pylist() for n in "xya"))):
+            if (x, y) != last:
+                sets, last = {}, (x, y)
+            if b[k] is None:
+                sets.setdefault(i, []).append(flat[k].values.to_numpy())
+                continue
+            for p in sets.get(i, ()):
+                for q in sets.get(b[k], ()):
+                    n, m = len(p), len(q)
+                    if 100 * min(n, m) >= percent * max(n, m):
+                        z = np.concatenate((p, q))
+                        z.sort(kind="stable")
+                        common = int((z[1:] == z[:-1]).sum())
+                        if 100 * common >= percent * (n + m - common):
+                            linked.append((i, b[k]))
+        if linked:
+            a, b = zip(*linked)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; sizes alone rule many out first."""
-    n = pairs.count()
-    ids = written(pairs.select(F.col("a").alias("_i")).union(pairs.select(F.col("b").alias("_i"))).distinct(), "near-ids", 2 * n)
-    held = docs.join(broadcast_if_small(ids, ids.count()), F.col("doc_id").cast("long") == F.col("_i"), "left_semi")
+    """The pairs (a, b) whose full sets reach the similarity. Ids are numbered in blocks, those with a common least
+    neighbour side by side; the sets of a pair of blocks come to its pairs once, however many these are."""
+
+    def run(batches):
+        yield from _linked(batches, percent)
+
+    parts = shuffle_partitions(docs.sparkSession)
+    ends = pairs.select(F.col("a").alias("id"), "a").unionAll(pairs.select(F.col("b").alias("id"), "a"))
+    near = ends.groupBy("id").agg(F.min("a").alias("near"))
+    ids = written(near.repartitionByRange(parts, "near", "id").sortWithinPartitions("near", "id").select("id").mapInArrow(_numbered, "id long, block long"), "near-ids")
+    n = ids.count()
+    held = docs.join(broadcast_if_small(ids.select(F.col("id").alias("_i")), n), F.col("doc_id").cast("long") == F.col("_i"), "left_semi")
     sets = written(shingle_sets(held, words), "near-sets")
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), F.size("s").alias(f"n{x}")) for x in "ab")
-    small = sets.select(F.col("doc_id").alias("b"), F.size("s").alias("_nb"))
-    first = pairs.join(small, "b").join(a, "a").filter((100 * F.least("na", "_nb") >= percent * F.greatest("na", "_nb")))
-    both = first.drop("_nb").join(b, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
+    x, y = (broadcast_if_small(ids.select(F.col("id").alias(e), F.col("block").alias(c)), n) for e, c in ("ax", "by"))
+    dealt = written(pairs.join(x, "a").join(y, "b").select("x", "y", "a", "b"), "near-dealt")
+    need = dealt.select("x", "y", F.col("a").alias("doc_id")).unionAll(dealt.select("x", "y", F.col("b").alias("doc_id"))).distinct()
+    rows = need.join(sets, "doc_id").select("x", "y", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    rows = rows.unionByName(dealt.withColumn("s", F.lit(None).cast("array<long>")))
+    rows = rows.repartition(parts, "x", "y").sortWithinPartitions("x", "y", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, **forest: int) -> DataFrame:
@@ -152,7 +292,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, **forest: int
     return sized.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 32, ahead: int = 1, least_prefix: int = 3, crowd: int = 4, wide: int = 32) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 32, ahead: int = 3, least_prefix: int = 3, crowd: int = 2, wide: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     rows = written(signatures(docs, words), "near-signatures")
     solid = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -160,16 +300,22 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     n = copies.count()
     in_class = rows.join(broadcast_if_small(copies, n), ["s1", "s2"], "left").withColumn("rep", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.coalesce("rep", "doc_id")))
     reps = in_class.filter("doc_id = rep").select("doc_id", "sig")
-    pairs = written(forest_candidates(reps, trees, ahead, least_prefix), "near-pairs")
-    links = written(verified(docs, pairs, words, percent), "near-links")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
-    crowded = written(ends.groupBy("doc_id").count().filter(F.col("count") >= crowd).select("doc_id"), "near-crowded", 2 * pairs.count() // crowd)
-    if many := crowded.count():
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    looks = [lambda r, some=some: forest_candidates(r, trees, some, ahead, least_prefix) for some in (range(min(FIRST, trees)), range(trees))]
+    # A run of two rows or up to `ahead` more is seen whole by the neighbours, but where a partition ends.
+    looks.append(lambda r: region_candidates(r, trees, wide, min(crowd, ahead + 2), least_prefix, percent))
+    so_far = None
+    for look in looks:
+        now = reps.withColumn("component", F.col("doc_id"))
+        if so_far is not None:
+            found = so_far.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+            now = reps.join(broadcast_if_small(found, found.count()), F.col("doc_id") == F.col("_i"), "left").select("doc_id", "sig", F.coalesce("_c", "doc_id").alias("component"))
+        pairs = written(look(now), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        more = written(verified(docs, pairs, words, percent), "near-links")
+        links = links.unionByName(more)
         so_far = components(links)
-        again = reps.join(broadcast_if_small(crowded, many), "doc_id").join(so_far, F.col("doc_id") == F.col("id"), "left")
-        again = written(again.select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component")), "near-again")
-        more = written(crowded_candidates(again, trees, wide, least_prefix, percent), "near-pairs")
-        links = links.unionByName(verified(docs, more, words, percent))
     twins = in_class.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # A repeated id with different texts sits in several classes: its class links join them.
     several = twins.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high").select(F.col("a"), F.col("low").alias("b"))

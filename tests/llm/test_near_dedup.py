@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("markerlake.llm")
@@ -60,3 +61,29 @@ def test_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op4_near_dedup(spark, sf).collect()), key=repr)
     assert got == brute(rows, 4, 80)
+
+
+def test_dense_group(spark):
+    """Edited versions of one long template, most pairs a little below the share: no link is missed by default."""
+    rnd, n, size = random.Random(11), 1000, 400
+    rows, whole, links = [], np.ones((n, size - 3), np.int64), []
+    for i in range(n):
+        w = [f"w{k}" for k in range(size)]
+        for k in rnd.sample(range(size), 8):
+            w[k] = f"e{i}_{k}"
+            whole[i, max(0, k - 3) : k + 1] = 0
+        rows.append((i, " ".join(w)))
+    common = whole @ whole.T  # only shingles of the template are shared
+    for i, j in np.argwhere(100 * common >= 80 * (2 * (size - 3) - common)):
+        if i < j:
+            links.append((int(i), int(j)))
+    comp = list(range(n))
+    for _ in range(n):
+        old = list(comp)
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == old:
+            break
+    assert 100 < len(set(comp)) < n
+    got = near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    assert [(r.doc_id, r.component_id) for r in got.collect() if r.component_id != comp[r.doc_id]] == []
