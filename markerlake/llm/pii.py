@@ -12,7 +12,7 @@ rounds one half is shifted, symbol by symbol, by a keyed SHA-256 stream of the o
 | phone | 10 to 15 digits in phone grouping | country code, grouping |
 | ssn | groups of 3, 2 and 4 digits | grouping |
 | email | a name, @ and a domain with a dot | letters' case, digits, marks, top domain |
-| secret | 32 to 64 hex characters with a digit and a letter | length, hex |
+| secret | 32 to 64 hex characters of one case with a digit and a letter | length, hex, case |
 
 Cases: null text stays null and counts nothing; empty text stays empty; a number that fails its check stays, and
 so does a text without values, byte by byte; values side by side are found each; repeated rows change alike;
@@ -29,9 +29,9 @@ from .shared import table
 ROUNDS, DAYS = 8, 146_097  # days of 1800-01-01 to 2199-12-31: 189 * 773
 KINDS = ("card", "ip", "date", "phone", "ssn", "email", "secret")
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 DATE = r"(?<![0-9A-Za-z.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?!\.?[0-9A-Za-z])"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z.+-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])"
@@ -73,7 +73,7 @@ def _characters(m: Column, key: str, kind: str, hexadecimal: bool = False, fixed
     is_digit = lambda c: code(c).between(48, 57)
     is_low, is_up = (lambda c: code(c).between(97, 122)), (lambda c: code(c).between(65, 90))
     if hexadecimal:
-        value = lambda c, i: F.when(is_digit(c), code(c) - 48).otherwise(code(c) - 87)
+        value = lambda c, i: F.when(is_digit(c), code(c) - 48).when(is_up(c), code(c) - 55).otherwise(code(c) - 87)
         base = lambda c, i: F.lit(16)
     else:
         value = lambda c, i: F.when(i < skip, 0).when(is_digit(c), code(c) - 48).when(is_low(c), code(c) - 97).when(is_up(c), code(c) - 65).otherwise(0)
@@ -82,7 +82,7 @@ def _characters(m: Column, key: str, kind: str, hexadecimal: bool = False, fixed
 
     def shown(c: Column, v: Column) -> Column:
         if hexadecimal:
-            return F.substring(F.lit("0123456789abcdef"), v + 1, F.lit(1))
+            return F.substring(F.when(m.rlike("[A-F]"), F.lit("0123456789ABCDEF")).otherwise(F.lit("0123456789abcdef")), v + 1, F.lit(1))
         moved = F.when(is_digit(c), v + 48).when(is_low(c), v + 97).when(is_up(c), v + 65)
         return F.coalesce(F.char(moved), c)
 
@@ -131,7 +131,7 @@ def _kind(m: Column) -> Column:
     full = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(F.contains(m, F.lit("@")), "email")
-        .when(full("[0-9a-f]{32,64}"), F.when(m.rlike("[0-9]") & m.rlike("[a-f]"), "secret"))
+        .when(full("[0-9a-f]{32,64}|[0-9A-F]{32,64}"), F.when(m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "secret"))
         .when(full("[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"), F.when(_luhn(digits) % 10 == 0, "card"))
         .when(full(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), F.when(_day(m).isNotNull(), "date"))
         .when(full(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), "ssn")

@@ -73,3 +73,13 @@ def test_table(spark, sf):
         if not r.n_found:
             assert r.text == docs[r.doc_id]
         assert not set(re.findall(r"[\w.]+@[\w.]+\w|[0-9a-f]{40}|\(\d{3}\) \d{3}-\d{4}", docs[r.doc_id])) & set(re.findall(r"[\w.]+@[\w.]+\w|[0-9a-f]{40}|\(\d{3}\) \d{3}-\d{4}", r.text))
+
+
+def test_upper_case_hex_and_plain_phone(spark):
+    token, dull = "9233A8EC" * 5, "1.415-555-01345 415 555 01340 x415-555-0134"
+    rows = [(1, f'TOKEN = "{token}" {token.lower()}'), (2, "call 415-555-0134 or 415.555.0134"), (3, dull)]
+    out = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new, low = re.findall("[0-9A-Fa-f]{40}", out[1].text)
+    assert out[1].n_secret == 2 and new != token and new == new.upper() and low == low.lower() != token.lower()
+    assert out[2].n_phone == 2 and "415-555-0134" not in out[2].text and re.fullmatch(r"call \d{3}-\d{3}-\d{4} or \d{3}\.\d{3}\.\d{4}", out[2].text)
+    assert out[3].n_found == 0 and out[3].text == dull
