@@ -364,6 +364,12 @@ def _(spark, d):
     return out(c.min_distance(v.codes(spark, d).filter("id < 200"), v.NBITS, turns=False), "min_distance")
 
 
+@query("family_min_distance_whole")
+def _(spark, d):
+    """Least distance of all codes of the table, whatever their ids; without SQL, which would try all pairs."""
+    return out(c.min_distance(v.codes(spark, d), v.NBITS, turns=False), "min_distance")
+
+
 @query(
     "quad_family_join",
     "SELECT p_partkey AS quad_id, s_suppkey AS family FROM part JOIN supplier ON (p_partkey % 2 = 0) = (s_suppkey % 2 = 0) WHERE s_suppkey <= 6",
