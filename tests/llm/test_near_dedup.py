@@ -87,3 +87,31 @@ def test_dense_group(spark):
     assert 100 < len(set(comp)) < n
     got = near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4)
     assert [(r.doc_id, r.component_id) for r in got.collect() if r.component_id != comp[r.doc_id]] == []
+
+
+def test_edited_copies(spark):
+    """2,000 copies of one text with two to five words changed, mostly a little below the share: with the query's own
+    parameters every document gets the component that all true links give."""
+    rnd, n, size = random.Random(5), 2000, 200
+    base = rnd.choices(range(5000), k=size)
+    rows, seen, entries = [], {}, []
+    for i in range(n):
+        w = list(base)
+        for k in rnd.sample(range(size), rnd.randint(2, 5)):
+            w[k] = rnd.randrange(5000)
+        rows.append((i, " ".join(f"v{x}" for x in w)))
+        entries += [(i, seen.setdefault(tuple(w[k : k + 4]), len(seen))) for k in range(size - 3)]
+    whole = np.zeros((n, len(seen)), np.float32)
+    whole[tuple(np.array(entries).T)] = 1
+    often = whole[:, whole.sum(0) > 1]
+    common, sizes = often @ often.T, whole.sum(1)
+    link = 100 * common >= 80 * (sizes[:, None] + sizes[None, :] - common)
+    comp = np.arange(n)
+    while True:
+        new = np.where(link, comp[None, :], n).min(1)
+        if (new == comp).all():
+            break
+        comp = new
+    assert 10 < len(set(comp.tolist())) < n
+    got = near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4)
+    assert [(r.doc_id, r.component_id) for r in got.collect() if r.component_id != comp[r.doc_id]] == []
