@@ -1,10 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of line keys (128-bit hash, number of documents, largest document id), hashed into buckets
-and sorted within them, kept in the shared folder. Documents come in batches, dealt by their id. A batch's
-keys are merged against the runs: keys with no match (the anti-join) enter its own run as new, keys with one
-enter as further counts. When a level holds `fanout` runs they are compacted into one run of the next level;
-both sides of each merge have the same buckets, so no merge shuffles the older runs again.
+and sorted within them, kept in the shared folder. Documents come in batches, dealt by their id. A batch's keys are
+merge-anti-joined with every run, bucket by bucket: those that no run holds become a run of their own, so no key is in
+two runs; the others are kept beside it as further counts, which only repeated lines have. When a level holds `fanout`
+runs they are compacted into one run of the next level. Runs have the same buckets and one sorted file for each, so
+neither the anti-join nor the compaction shuffles or sorts a run that is read; only a batch's own keys are shuffled,
+counted before by each task.
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. A key of at least
 `min_chars` code points that at least `min_docs` documents hold loses all its lines but those of the largest
@@ -18,6 +20,8 @@ n_lines or n_dropped are replaced, other columns are kept; an empty table gives
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -55,79 +59,105 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long")
 
 
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def _sorted_scans(spark: SparkSession):
+    """Within it, a scan of a run counts as sorted: each bucket is one file."""
+    old = spark.conf.get(_SORTED)
+    spark.conf.set(_SORTED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SORTED, old)
+
+
 class LineRuns:
-    """The runs, level by level."""
+    """The runs, level by level, and the further counts of keys that older runs hold."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.buckets = spark, fanout, shuffle_partitions(spark)
-        self.levels: list[list[tuple[str, str]]] = []
+        self.levels: list[list[str]] = []
+        self.tables: dict[str, str] = {}  # name -> path
+        self.further: list[str] = []
 
-    def _write(self, df: DataFrame) -> tuple[str, str]:
-        """A run: (table, path)."""
+    def _write(self, df: DataFrame) -> str:
+        """Writes (h1, h2, n_docs, max_doc, fresh), dealt by (h1, h2) already, and gives the table's name. The two kinds
+        of rows are partitions, so a run's scan reads fresh rows alone."""
         name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "line-run")
-        (
-            df.select("h1", "h2", "n_docs", "max_doc")
-            .repartition(self.buckets, "h1", "h2")
-            .write.bucketBy(self.buckets, "h1", "h2")
-            .sortBy("h1", "h2")
-            .option("path", path)
-            .saveAsTable(name)
-        )
-        return name, path
-
-    def _drop(self, run: tuple[str, str]) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
-        drop_path(self.spark, run[1])
-
-    def clear(self) -> None:
-        for level in self.levels:
-            for run in level:
-                self._drop(run)
-        self.levels = []
+        with _sorted_scans(self.spark):
+            df.write.partitionBy("fresh").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        self.tables[name] = path
+        return name
 
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name, _ in level]
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, self.tables.pop(name))
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """keys without those that any run holds."""
-        for run in self.tables():
-            keys = keys.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return keys
+    def clear(self) -> None:
+        for name in list(self.tables):
+            self._drop(name)
+        self.levels, self.further = [], []
+
+    def runs(self) -> list[DataFrame]:
+        return [self._run(name) for level in self.levels for name in level]
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter("fresh").select("h1", "h2", "n_docs", "max_doc")
+
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """keys with fresh: whether no run holds them. One merge with each run; keys are dealt like the buckets by the
+        aggregation that made them, and the hint keeps the join a merge."""
+        seen = []
+        for k, run in enumerate(self.runs()):
+            keys = keys.hint("merge").join(run.select("h1", "h2", F.lit(True).alias(f"_s{k}")), ["h1", "h2"], "left")
+            seen.append(F.col(f"_s{k}").isNull())
+        fresh = reduce(lambda a, b: a & b, seen, F.lit(True))
+        return keys.select("h1", "h2", "n_docs", "max_doc", fresh.alias("fresh"))
 
     def add(self, lines: DataFrame) -> None:
-        """Takes in a batch of (doc_id, h1, h2): its keys, new or not, become a run of the first level."""
+        """Takes in a batch of (doc_id, h1, h2)."""
         once = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         counted = once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        name = self._write(self.marked(counted))
+        if self.runs():
+            self.further.append(name)
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._write(counted))
+        self.levels[0].append(name)
         k = 0
         while len(self.levels[k]) >= self.fanout:
             if k + 1 == len(self.levels):
                 self.levels.append([])
             old, self.levels[k] = self.levels[k], []
-            self.levels[k + 1].append(self._write(self._merged([self.spark.table(n) for n, _ in old])))
-            for run in old:
-                self._drop(run)
+            whole = old[0]
+            for run in old[1:]:
+                parts, whole = (whole, run), self._write(self.merged(self._run(whole), self._run(run)))
+                for done in parts:
+                    if done not in self.further:
+                        self._drop(done)
+            self.levels[k + 1].append(whole)
             k += 1
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        """One sorted merge: the anti-join's rows of the newer run as they are, and the older run's with the
-        counts of equal keys added."""
-        total = runs[0]
-        for run in runs[1:]:
-            fresh = run.join(total.select("h1", "h2"), ["h1", "h2"], "left_anti")
-            more = run.select("h1", "h2", F.col("n_docs").alias("more"), F.col("max_doc").alias("later"))
-            kept = total.join(more, ["h1", "h2"], "left").select(
-                "h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "later").alias("max_doc")
-            )
-            total = kept.unionByName(fresh.select("h1", "h2", "n_docs", "max_doc"))
-        return total
+    def merged(run: DataFrame, other: DataFrame) -> DataFrame:
+        """Two runs, which have no key in common, as one: sorted files are merged bucket by bucket."""
+        more = other.select("h1", "h2", F.col("n_docs").alias("_n"), F.col("max_doc").alias("_m"))
+        both = run.hint("merge").join(more, ["h1", "h2"], "full")
+        return both.select("h1", "h2", F.coalesce("n_docs", "_n").alias("n_docs"), F.coalesce("max_doc", "_m").alias("max_doc"), F.lit(True).alias("fresh"))
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, max_doc) of keys that at least min_docs documents hold."""
-        return self._merged(self.tables()).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
+        counts = [self.spark.table(n).filter("NOT fresh").select("h1", "h2", "n_docs", "max_doc") for n in self.further]
+        whole = reduce(DataFrame.unionByName, self.runs())
+        if counts:
+            more = reduce(DataFrame.unionByName, counts).groupBy("h1", "h2").agg(F.sum("n_docs").alias("_n"), F.max("max_doc").alias("_m"))
+            joined = [r.join(more, ["h1", "h2"], "left") for r in self.runs()]
+            whole = reduce(DataFrame.unionByName, joined).select(
+                "h1", "h2", (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "_m").alias("max_doc")
+            )
+        return whole.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -140,15 +170,17 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(keys.filter(F.col("batch") == k).drop("batch"))
-    gone = written(runs.repeated(min_docs), "line-repeated")
+    with _sorted_scans(spark):
+        gone = written(runs.repeated(min_docs), "line-repeated")
     runs.clear()
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own_id, own_gone = (next(f"_{x}{k}" for k in range(len(keep) + 1) if f"_{x}{k}" not in keep) for x in ("id", "gone"))
     hits = (
         keys.join(broadcast_if_small(gone, gone.count(), 100_000), ["h1", "h2"])
         .filter(F.col("doc_id") != F.col("max_doc"))
-        .groupBy(F.col("doc_id").alias("_ml_id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_ml_gone"))
+        .groupBy(F.col("doc_id").alias(own_id))
+        .agg(F.collect_set(F.struct("h1", "h2")).alias(own_gone))
     )
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_lines long, n_dropped long"
     at = keep.index("text")
@@ -156,7 +188,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     def run(batches_):
         for b in batches_:
             texts, lines, dropped = [], [], []
-            for text, hit in zip(b.column("text").to_pylist(), b.column("_ml_gone").to_pylist()):
+            for text, hit in zip(b.column("text").to_pylist(), b.column(own_gone).to_pylist()):
                 rows = (text or "").encode().split(b"\n")
                 lines.append(len(rows))
                 if hit:
@@ -169,7 +201,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*keep, "n_lines", "n_dropped"])
 
-    found = docs.select(*keep).join(hits, F.col("doc_id").cast("long") == F.col("_ml_id"), "left").drop("_ml_id")
+    found = docs.select(*keep).join(hits, F.col("doc_id").cast("long") == F.col(own_id), "left").drop(own_id)
     return found.mapInArrow(run, schema)
 
 

@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("markerlake.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from markerlake.llm.line_dedup import line_dedup, op1_line_dedup, OP1_SQL  # noqa: E402
+from markerlake.llm.line_dedup import LineRuns, OP1_SQL, _sorted_scans, line_dedup, op1_line_dedup  # noqa: E402
 
 from .helpers import same_as_sql  # noqa: E402
 
@@ -46,3 +46,28 @@ def test_empty(spark):
 
 def test_sql(spark, sf):
     same_as_sql(op1_line_dedup(spark, sf), OP1_SQL, sf)
+
+
+def test_runs(spark):
+    """A key is fresh in one batch only; neither the anti-join's runs nor a compaction are shuffled or sorted."""
+    runs = LineRuns(spark, fanout=3)
+    batches = [[(1, 1, 1), (2, 1, 1), (1, 2, 2)], [(5, 1, 1), (6, 3, 3)], [(7, 3, 3), (8, 1, 1), (9, 4, 4)]]
+    lines = [spark.createDataFrame(b, "doc_id long, h1 long, h2 long") for b in batches]
+    try:
+        runs.add(lines[0])
+        runs.add(lines[1])
+        one, two = runs.runs()
+        assert sorted(map(tuple, one.collect())) == [(1, 1, 2, 2), (2, 2, 1, 1)] and [tuple(r) for r in two.collect()] == [(3, 3, 1, 6)]
+        with _sorted_scans(spark):
+            counted = lines[2].groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+            marked, merged = runs.marked(counted), runs.merged(one, two)
+            plans = [df._jdf.queryExecution().executedPlan().toString() for df in (marked, merged)]
+        assert plans[0].count("Exchange") == 1 and plans[0].count("Sort [") <= 1 and plans[0].count("SortMergeJoin") == 2
+        assert "Exchange" not in plans[1] and "Sort [" not in plans[1] and "SortMergeJoin" in plans[1]
+        assert {r.h1: r.fresh for r in marked.collect()} == {1: False, 3: False, 4: True}
+        runs.add(lines[2])
+        assert [len(level) for level in runs.levels] == [0, 1]
+        assert sorted(map(tuple, runs.repeated(2).collect())) == [(1, 1, 8), (3, 3, 7)]
+        assert sorted(r.h1 for r in runs.runs()[0].collect()) == [1, 2, 3, 4]
+    finally:
+        runs.clear()
