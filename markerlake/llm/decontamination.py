@@ -1,18 +1,21 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
 Test items are partitioned by the size of their shingle set, by powers of two. Each item is sketched by the
-shingles with its least hashes (bottom-k MinHash); a document holds one such shingle with the probability of the
-containment, and the class's sketch is just long enough that a document with the asked-for containment cannot miss
-all of it: a set of n shingles contained to share c lacks at most floor((1-c) n), and the class takes that number,
-for its largest n, and one more. So the search loses nothing at any document length, where signatures of whole
-documents would need a length in proportion to the document. Documents' shingle hashes are probed against the
-sketches as they are made: the sketch table is broadcast below a counted size and shuffled beyond it. Documents
-with a hit are verified: the shared distinct shingles, as words and not as hashes, are counted for each item.
+shingles with its least hashes (bottom-k MinHash), as many as its class says: a set of n shingles contained to share c
+lacks at most floor((1-c) n), and the class takes that number, for its largest n, and `SPARE` more. A document that
+holds the item holds at least the rest of its sketch, so (document, item) is a candidate from that many distinct sketch
+hashes on. The search loses nothing at any document length, where signatures of whole documents would need a length in
+proportion to the document. Documents' shingle hashes are probed against the sketches (class, item, hash) as they are
+made: the sketch table is broadcast below a counted size and shuffled beyond it. Candidates alone are verified: each
+document comes once to the shingle lists of its candidate items, and shared distinct shingles, as words and not as
+hashes, are counted by intersection.
 
 Cases: with fewer words than a shingle, a text's whole sequence is its one shingle; null, empty and blank texts
 have none and neither hold nor match anything; equal items match alike under each id, rows that repeat an item id
 are one item with all their shingles, rows that repeat a doc_id give one row of the most any of their texts
-shares; rows with a null id are ignored; columns beyond the ids and text are ignored; empty tables match nothing.
+shares; rows with a null id are ignored; columns beyond the ids and text are ignored; empty tables match nothing. An
+item of fewer words than a shingle is contained only in texts that are this sequence: a word or two inside a longer
+text is no sign of contamination.
 """
 
 from __future__ import annotations
@@ -20,23 +23,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from .shared import ascii_lower, broadcast_if_small, table, written
 
+SPARE = 3
+#: Bytes of item lists up to which they are broadcast.
+LIST_BYTES = 64 << 20
+
 
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text with A-Z lower-cased."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def _each(words: str, size: int, one, whole) -> Column:
+def _each(words: str | Column, size: int, one, whole) -> Column:
     """one(i) for every place where a shingle of the words column starts; [whole] where there are too few words."""
     n = F.size(words)
     many = F.transform(F.sequence(F.lit(1), n - size + 1), one)
     return F.when(n >= size, many).when(n > 0, F.array(whole))
 
 
-def shingle_words(words: str, size: int) -> Column:
-    return F.array_distinct(_each(words, size, lambda i: F.array_join(F.slice(words, i, size), " "), F.array_join(words, " ")))
+def shingle_words_all(words: str | Column, size: int) -> Column:
+    """The shingles of a column of words, not made distinct."""
+    return _each(words, size, lambda i: F.array_join(F.slice(words, i, size), " "), F.array_join(words, " "))
+
+
+@bound
+def _shingles_of(words: Column, size: int) -> Column:
+    return shingle_words_all(words, size)
+
+
+def shingle_words_of(text: Column, size: int) -> Column:
+    """The shingles of a text, not made distinct."""
+    return _shingles_of(words_of(text), size)
 
 
 def shingle_hashes(words: str, size: int) -> Column:
@@ -45,15 +64,16 @@ def shingle_hashes(words: str, size: int) -> Column:
     return _each(words, size, lambda i: F.xxhash64(*(at(i, k) for k in range(size))), F.xxhash64(words))
 
 
-def sketches(items: DataFrame, size: int, percent: int) -> DataFrame:
-    """(h): the sketch hashes of all items. items: (item_id, s) shingles as word arrays."""
-    hashed = items.select("item_id", "h").distinct()
-    n = hashed.groupBy("item_id").agg(F.count("*").alias("n"))
-    top = F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1  # the largest size of the item's class
-    take = n.select("item_id", (F.floor(top * (100 - percent) / 100) + 1).alias("take"))
-    least = hashed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.xxhash64(F.lit(5), "h"))).alias("order"), F.collect_list("h").alias("hs"))
-    kept = least.join(take, "item_id").select(F.explode("hs").alias("h"), F.element_at("order", F.least(F.col("take"), F.size("order")).cast("int")).alias("last"))
-    return kept.filter(F.xxhash64(F.lit(5), "h") <= F.col("last")).select("h").distinct()
+def sketches(items: DataFrame, percent: int) -> DataFrame:
+    """(class, item_id, need, h): sketch hashes by size class, and how many of them a document must hold. items:
+    (item_id, h) hashes of shingles, distinct."""
+    lacks = lambda n: F.floor(n * (100 - percent) / 100)
+    order = F.array_sort(F.transform(F.collect_list("h"), lambda h: F.struct(F.xxhash64(F.lit(5), h).alias("o"), h.alias("h"))))
+    sets = items.groupBy("item_id").agg(F.count("*").alias("n"), order.alias("order")).withColumn("class", F.floor(F.log2("n")).cast("int"))
+    take = lacks(F.pow(F.lit(2), F.col("class") + 1) - 1) + SPARE  # for the largest size of the class
+    sets = sets.withColumn("take", F.least(take, F.col("n")).cast("int"))
+    need = F.greatest(F.lit(1), F.col("take") - lacks(F.col("n"))).cast("int")
+    return sets.select("class", "item_id", need.alias("need"), F.explode(F.slice("order", F.lit(1), F.col("take"))).alias("x")).select("class", "item_id", "need", "x.h")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -61,20 +81,27 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
     distinct shingles."""
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     tests = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("w"))
-    tests = tests.select("item_id", F.explode(F.arrays_zip(_each("w", words, lambda i: F.array_join(F.slice("w", i, words), " "), F.array_join("w", " ")).alias("s"), shingle_hashes("w", words).alias("h"))).alias("x"))
-    tests = written(tests.select("item_id", "x.s", "x.h").distinct(), "bench-shingles")
-    probe = written(sketches(tests, words, percent), "bench-sketches")
+    both = F.arrays_zip(shingle_words_all("w", words).alias("s"), shingle_hashes("w", words).alias("h"))
+    tests = written(tests.select("item_id", F.explode(both).alias("x")).select("item_id", "x.s", "x.h").distinct(), "bench-shingles")
+    probe = written(sketches(tests.select("item_id", "h").distinct(), percent), "bench-sketches")
     made = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes("w", words)).alias("h"))
-    hits = written(made.join(broadcast_if_small(probe, probe.count()), "h", "left_semi").select("doc_id").distinct(), "bench-hits")
-    held = docs.join(broadcast_if_small(hits, hits.count()), "doc_id", "left_semi")
-    numbered = held.select(F.monotonically_increasing_id().alias("r"), "doc_id", words_of(F.col("text")).alias("w"))
-    whole = numbered.select("r", "doc_id", F.explode(shingle_words("w", words)).alias("s"))
-    sizes = tests.groupBy("item_id").agg(F.count_distinct("s").alias("n_item"))
-    pairs = tests.select("item_id", "s").distinct()
-    shared = whole.join(broadcast_if_small(pairs, tests.count()), "s").groupBy("r", "doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    best = shared.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared")).join(sizes, "item_id")
-    found = best.filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
-    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    hits = made.join(broadcast_if_small(probe, probe.count()), "h")
+    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("held"), F.min("need").alias("need")).filter("held >= need")
+    found = written(found.select("doc_id", "item_id"), "bench-candidates")
+    lists = written(tests.select("item_id", "s").distinct().groupBy("item_id").agg(F.collect_list("s").alias("s")), "bench-lists")
+    least = lists.agg(F.sum(F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 16))).first()[0] or 0
+    wanted = found.join(broadcast_if_small(lists, least, LIST_BYTES), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "s")).alias("items"))
+    wanted = written(wanted, "bench-wanted")
+    held = docs.join(wanted, "doc_id").select("doc_id", "items", shingle_words_of(F.col("text"), words).alias("own"))
+    shared = held.select("doc_id", F.explode(_shared(F.col("items"), F.col("own"))).alias("x")).select("doc_id", "x.*")
+    best = shared.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
+    return best.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+@bound
+def _shared(items: Column, own: Column) -> Column:
+    """(item_id, n_item, n_shared) of each candidate item."""
+    return F.transform(items, lambda x: F.struct(x["item_id"].alias("item_id"), F.size(x["s"]).cast("long").alias("n_item"), F.size(F.array_intersect(x["s"], own)).cast("long").alias("n_shared")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
