@@ -5,11 +5,12 @@ letters' vectors, each rotated by its place, by elementwise product; a text's pr
 vectors of its n-grams. A language's prototype bundles the unit profiles of its learning texts. A text gets the
 language whose prototype has the largest cosine with its profile; ties go to the first in code point order.
 
-Letters are lower-cased; a run of other characters is one blank, so n-grams also hold word ends. Letters beyond
-`letters`, the most frequent ones of the learning texts, share one vector.
+Letters of any script are lower-cased; a run of other characters is one blank, so n-grams also hold word ends. The
+vectors of n-grams are made on first use and kept up to `CACHE`, then begun anew, so memory is bounded for any alphabet.
 
 Cases: null text, empty text and text without a letter get `und` and score 0; with nothing to learn from, all
-texts do; a text of any length is taken in pieces; documents that repeat are judged alike; columns called
+texts do; a text of any length is taken in pieces that
+split no n-gram; documents that repeat are judged alike; columns called
 held_out, lang_pred or score are replaced, other columns are kept.
 """
 
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import held_out, table
 
-PIECE = 1 << 20
+PIECE, CACHE, CHUNK = 1 << 20, 1 << 16, 4096
+#: A unit profile as whole numbers, so that sums do not depend on their order.
+UNIT = 1 << 20
+BITS = 21  # of a code point
 
 
 def _letter_vector(code: int, dim: int) -> np.ndarray:
@@ -31,57 +35,63 @@ def _letter_vector(code: int, dim: int) -> np.ndarray:
 
 
 class Profiles:
-    """n-gram vectors over an alphabet, and prototypes."""
-
-    def __init__(self, alphabet: str, n: int = 3, dim: int = 1024):
-        self.alphabet, self.n, self.dim = alphabet, n, dim
-        self.base = len(alphabet) + 2  # blank, the letters, any other letter
-        self._low = np.zeros(0x250, np.uint8)
-        self._rest: dict[str, int] = {}
-        for k, c in enumerate(alphabet):
-            if ord(c) < len(self._low):
-                self._low[ord(c)] = k + 1
-        self._index = {c: k + 1 for k, c in enumerate(alphabet)}
-        for c in range(len(self._low)):
-            if not self._low[c] and chr(c).isalpha():
-                self._low[c] = self.base - 1
-        letters = np.stack([_letter_vector(c, dim) for c in [0, *map(ord, alphabet), 0x110000]])
-        self.rotated = [np.roll(letters, k, axis=1) for k in range(n)]
+    """n-gram vectors."""
+
+    def __init__(self, n: int = 3, dim: int = 1024):
+        if n * BITS > 63:
+            raise ValueError("n-grams have 3 letters at most")
+        self.n, self.dim = n, dim
+        self._plain = np.array([chr(c).isalpha() for c in range(0x250)])
+        self._rest: dict[int, bool] = {}
+        self._rotated: dict[int, list[np.ndarray]] = {}
         self.vectors: dict[int, int] = {}
-        self.matrix = np.empty((4096, dim), np.int8)
-
-    def _codes(self, text: str) -> np.ndarray:
-        """Alphabet places of a lower-cased text, blanks at its ends, runs of blanks as one."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        low = points < len(self._low)
-        places = self._low[np.where(low, points, 0)]
-        if not low.all():
-            for at in np.flatnonzero(~low).tolist():
-                c = chr(points[at])
-                places[at] = self._index.get(c, self.base - 1 if c.isalpha() else 0)
-        places = np.concatenate(([0], places, [0]))
-        return places[(places > 0) | np.r_[True, places[:-1] > 0]].astype(np.int64)
+        self.matrix = np.empty((CHUNK, dim), np.int8)
+
+    def _letters(self, low: str) -> np.ndarray:
+        """Code points of a lower-cased text, 0 for all but letters."""
+        points = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        small = points < len(self._plain)
+        alpha = self._plain[np.where(small, points, 0)]
+        if not small.all():
+            used, place = np.unique(points[~small], return_inverse=True)
+            for c in used.tolist():
+                if c not in self._rest:
+                    self._rest[c] = chr(c).isalpha()
+            alpha[~small] = np.array([self._rest[c] for c in used.tolist()])[place]
+        return np.where(alpha, points, 0)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of a text and how often each occurs."""
-        found: dict[int, int] | None = None if len(text) <= PIECE else {}
-        for k in range(0, max(1, len(text)), PIECE):
-            c = self._codes(text[max(0, k - self.n + 1) if k else 0 : k + PIECE])
-            if len(c) < self.n:
-                c = np.r_[c, np.zeros(self.n - len(c), np.int64)]
-            gram = c[: len(c) - self.n + 1].copy()
+        """Distinct n-grams of a text and how often each occurs. The text has a blank at each end; runs of blanks are
+        one."""
+        low, found, tail = text.lower(), {}, np.zeros(1, np.int64)
+        for k in range(0, max(1, len(low)), PIECE):
+            c = np.concatenate((tail, self._letters(low[k : k + PIECE]), [0] if k + PIECE >= len(low) else []))
+            c = c[(c > 0) | np.r_[True, c[:-1] > 0]].astype(np.int64)
+            tail = c[len(c) - min(len(c), self.n - 1) :]
+            gram = c[: max(0, len(c) - self.n + 1)].copy()
             for j in range(1, self.n):
-                gram = gram * self.base + c[j : len(c) - self.n + 1 + j]
+                gram = gram << BITS | c[j : j + len(gram)]
             codes, n = np.unique(gram, return_counts=True)
-            if found is None:
+            if len(low) <= PIECE:
                 return codes, n
             for g, m in zip(codes.tolist(), n.tolist()):
                 found[g] = found.get(g, 0) + m
-        return np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+        return np.array(sorted(found), np.int64), np.array([found[g] for g in sorted(found)], np.int64)
+
+    def _turned(self, code: int) -> list[np.ndarray]:
+        """The vector of a code point, rotated by each place."""
+        found = self._rotated.get(code)
+        if found is None:
+            if len(self._rotated) >= CACHE // 16:
+                self._rotated.clear()
+            v = _letter_vector(code, self.dim)
+            found = self._rotated[code] = [np.roll(v, k) for k in range(self.n)]
+        return found
 
     def _rows(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of the matrix that hold the vectors of n-grams, made on first use. The alphabet bounds their
-        number: with 44 letters and n = 3 it is 97,336, or 100 MB at most."""
+        """Rows of the matrix that hold the vectors of at most CHUNK n-grams."""
+        if len(self.vectors) + len(codes) > CACHE:
+            self.vectors.clear()
         rows = []
         for g in codes.tolist():
             row = self.vectors.get(g)
@@ -91,64 +101,57 @@ class Profiles:
                     self.matrix = np.concatenate((self.matrix, np.empty_like(self.matrix)))
                 v, rest = np.ones(self.dim, np.int8), g
                 for k in range(self.n):
-                    rest, place = divmod(rest, self.base)
-                    v = v * self.rotated[k][place]
+                    v = v * self._turned(rest & (1 << BITS) - 1)[k]
+                    rest >>= BITS
                 self.matrix[row] = v
             rows.append(row)
         return np.array(rows, np.int64)
 
     def profile(self, text: str) -> np.ndarray:
         codes, n = self.counts(text)
-        rows = self._rows(codes)
-        return n.astype(np.float32) @ self.matrix[rows].astype(np.float32)
+        total = np.zeros(self.dim, np.float32)
+        for k in range(0, len(codes), CHUNK):
+            rows = self._rows(codes[k : k + CHUNK])
+            total += n[k : k + CHUNK].astype(np.float32) @ self.matrix[rows].astype(np.float32)
+        return total
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def learn(docs: DataFrame, per_lang: int = 3000, letters: int = 44, n: int = 3, dim: int = 1024) -> dict:
+def learn(docs: DataFrame, per_lang: int = 3000, n: int = 3, dim: int = 1024) -> dict:
     """Prototypes of the languages of docs (text, lang; rows without either are left out), from about per_lang
     texts of each language: a row counts if the hash of its id falls below its language's share, so the sample
-    is the same on every run. Only sums leave the executors: one vector for each language and task, and the
-    letters' counts."""
+    is the same on every run. Each task sums its texts by language, and the sums, no more than the sample has texts,
+    are summed by language on executors; one vector for each language comes to the driver."""
     spark = docs.sparkSession
     docs = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     size = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not size:
-        return {"alphabet": "", "langs": [], "prototypes": np.zeros((0, dim), np.float32), "n": n, "dim": dim}
+        return {"langs": [], "prototypes": np.zeros((0, dim), np.float32), "n": n, "dim": dim}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = spark.createDataFrame([(k, min(1 << 20, int((1 << 20) * per_lang / v) + 1)) for k, v in size.items()], "lang string, _share long")
     sample = docs.join(F.broadcast(share), "lang").filter(draw < F.col("_share")).select("text", "lang")  # a row for each language
 
-    def count(batches):
-        total: dict[str, int] = {}
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                low = t.lower()
-                for c in set(low):
-                    if c.isalpha():
-                        total[c] = total.get(c, 0) + low.count(c)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["c", "n"])
-
-    top = sample.mapInArrow(count, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(letters).collect()
-    alphabet = "".join(sorted(r.c for r in top if len(r.c) == 1))
-
     def bundle(batches):
-        p, sums = Profiles(alphabet, n, dim), {}
+        p, sums = Profiles(n, dim), {}
         for b in batches:
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 if has_letter(t):
-                    v = p.profile(t)
-                    sums[lang] = sums.get(lang, 0) + v / max(float(np.linalg.norm(v)), 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype(np.float64).tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+                    v = p.profile(t).astype(np.float64)
+                    sums[lang] = sums.get(lang, 0) + np.rint(v * (UNIT / max(float(np.linalg.norm(v)), 1e-9))).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
+
+    def total(key, rows):
+        v = np.asarray(rows.column("v").combine_chunks().flatten()).reshape(rows.num_rows, dim).sum(0)
+        return pa.table({"lang": pa.array([key[0].as_py()]), "v": pa.array([v.tolist()], pa.list_(pa.int64()))})
 
-    sums: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(bundle, "lang string, v array<double>").orderBy("lang").toLocalIterator():
-        sums[r.lang] = sums.get(r.lang, 0) + np.array(r.v)
+    kind = "lang string, v array<long>"
+    sums = {r.lang: np.array(r.v, float) for r in sample.mapInArrow(bundle, kind).groupBy("lang").applyInArrow(total, kind).collect()}
     langs = sorted(sums)
     protos = np.array([sums[k] / max(np.linalg.norm(sums[k]), 1e-9) for k in langs], np.float32).reshape(len(langs), dim)
-    return {"alphabet": alphabet, "langs": langs, "prototypes": protos, "n": n, "dim": dim}
+    return {"langs": langs, "prototypes": protos, "n": n, "dim": dim}
 
 
 _profiles: dict[tuple, Profiles] = {}
@@ -161,7 +164,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"
 
     def run(batches):
-        key = (model["alphabet"], model["n"], model["dim"])
+        key = (model["n"], model["dim"])
         p = _profiles.get(key) or _profiles.setdefault(key, Profiles(*key))
         for b in batches:
             langs, scores = [], []
