@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from markerlake.llm.bpe import round_trip
 from markerlake.llm.decontamination import contaminated
-from markerlake.llm.language_id import identify
+from markerlake.llm.language_id import learn, predict
 from markerlake.llm.line_dedup import line_dedup
 from markerlake.llm.near_dedup import near_components
 from markerlake.llm.registry import tokenizer_path
-from markerlake.llm.shared import broadcast_if_small, table, written
+from markerlake.llm.shared import broadcast_if_small, held_out, table, written
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -25,8 +25,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, to which no language can be given, go."""
-    return identify(docs).filter("lang_pred <> 'und'").select(*docs.columns)
+    """Documents to which no language can be given go: those without a letter, and those no more alike to any
+    language's prototype than random vectors are (three standard deviations, 3 / sqrt of their length). Where no lang
+    can be learnt from, all documents with a letter stay."""
+    model = learn(docs.filter(~held_out(F.col("doc_id"))))
+    if not model["langs"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs.withColumn("_own", F.struct(*docs.columns)).select("_own", "text"), model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 3 / model["dim"] ** 0.5)).select("_own.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
