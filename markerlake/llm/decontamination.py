@@ -92,7 +92,9 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
     least = lists.agg(F.sum(F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 16))).first()[0] or 0
     wanted = found.join(broadcast_if_small(lists, least, LIST_BYTES), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "s")).alias("items"))
     wanted = written(wanted, "bench-wanted")
-    held = docs.join(wanted, "doc_id").select("doc_id", "items", shingle_words_of(F.col("text"), words).alias("own"))
+    n = wanted.count()
+    few = docs.join(broadcast_if_small(wanted.select("doc_id"), n), "doc_id", "left_semi")  # before the lists, so that texts without a candidate stay where they are
+    held = few.join(wanted, "doc_id").select("doc_id", "items", shingle_words_of(F.col("text"), words).alias("own"))
     shared = held.select("doc_id", F.explode(_shared(F.col("items"), F.col("own"))).alias("x")).select("doc_id", "x.*")
     best = shared.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return best.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
