@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scalars import mod2pi
+
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 PARALLEL = 1e-8
@@ -77,6 +81,31 @@ def area2(poly: Column) -> Column:
     return F.aggregate(edges(poly), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
 
 
+def heron_area(quad: Column) -> Column:
+    """Area of a quadrilateral as the two triangles at its first corner, from their sides."""
+    p = lambda k: F.get(quad, F.lit(k))
+
+    def triangle(a: Column, b: Column, c: Column) -> Column:
+        u, v, w = distance(a, b), distance(b, c), distance(c, a)
+        h = (u + v + w) / 2
+        return F.sqrt(F.greatest(F.lit(0.0), h * (h - u) * (h - v) * (h - w)))
+
+    return triangle(p(0), p(1), p(2)) + triangle(p(2), p(3), p(0))
+
+
+def turns_convex(quad: Column, cos_critical: float) -> Column:
+    """Whether a quadrilateral turns left at each corner, neither too sharply nor too little; false for equal corners."""
+    after = F.concat(F.slice(quad, 2, 3), F.slice(quad, 1, 1))
+    sides = F.zip_with(quad, after, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+
+    def corner(u: Column, v: Column) -> Column:
+        size = F.sqrt((u["x"] * u["x"] + u["y"] * u["y"]) * (v["x"] * v["x"] + v["y"] * v["y"]))
+        cosine = (u["x"] * v["x"] + u["y"] * v["y"]) / F.nullif(size, F.lit(0.0))
+        return F.coalesce((F.abs(cosine) <= cos_critical) & (u["x"] * v["y"] >= u["y"] * v["x"]), F.lit(False))
+
+    return F.forall(F.zip_with(sides, F.concat(F.slice(sides, 2, 3), F.slice(sides, 1, 1)), corner), lambda ok: ok)
+
+
 def make_ccw(poly: Column) -> Column:
     return F.when(area2(poly) < 0, F.reverse(poly)).otherwise(poly)
 
@@ -106,6 +135,30 @@ def project(h: Column, x: Column, y: Column) -> Column:
     return F.struct(((at(0) * x + at(1) * y + at(2)) / w).alias("x"), ((at(3) * x + at(4) * y + at(5)) / w).alias("y"))
 
 
+def line(a: Column, b: Column) -> Column:
+    """struct(p, u): a point and the unit direction from a to b."""
+    d = distance(a, b)
+    return F.struct(a.alias("p"), F.struct(((b["x"] - a["x"]) / d).alias("x"), ((b["y"] - a["y"]) / d).alias("y")).alias("u"))
+
+
+def line_coordinate(ln: Column, q: Column) -> Column:
+    """How far along the line the point nearest to q lies."""
+    return (q["x"] - ln["p"]["x"]) * ln["u"]["x"] + (q["y"] - ln["p"]["y"]) * ln["u"]["y"]
+
+
+def segment_meets_line(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Where the segment ab meets the line through c and d; null where it does not."""
+    side = cross(c, d, a) * cross(c, d, b)
+    return F.when(side <= 0, line_intersection(a, b, c, d))
+
+
+def contains_point_by_winding(poly: Column, q: Column) -> Column:
+    """By the angles under which the edges of a counter-clockwise polygon are seen."""
+    angle = lambda p: F.atan2(q["y"] - p["y"], q["x"] - p["x"])
+    turned = F.transform(edges(poly), lambda e: mod2pi(angle(e["b"]) - angle(e["a"])))
+    return F.aggregate(turned, F.lit(0.0), lambda s, x: s + x) > math.pi
+
+
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Lower chain, then upper chain, of the sorted points; collinear ones are left out."""
     points = sorted(set(points))

@@ -1,7 +1,8 @@
 """Dense matrices as columns: struct(nrows, ncols, data), row by row; a 1x1 matrix acts as a scalar in products.
 
 Element-wise work, products and transposes are array expressions. Decompositions are pandas UDFs that take a batch of
-matrices at a time; a singular or misshapen matrix gives null.
+matrices at a time; a singular or misshapen matrix gives null. Spark cannot run them over an expression with
+higher-order functions, such as a product: make that a column of the frame first.
 """
 
 from __future__ import annotations
@@ -184,6 +185,141 @@ def svd(m: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "s", "v"])
 
 
+def scalar(v) -> Column:
+    """A 1x1 matrix."""
+    return matrix(1, 1, F.array(v if isinstance(v, Column) else F.lit(float(v))))
+
+
+def get_scalar(m: Column) -> Column:
+    return get(m, 0, 0)
+
+
+@bound
+def set_data(m: Column, data: Column) -> Column:
+    """m with other numbers; null where their count does not fit."""
+    return F.when(F.size(data) == m["nrows"] * m["ncols"], matrix(m["nrows"], m["ncols"], data))
+
+
+def is_scalar(m: Column) -> Column:
+    return (m["nrows"] == 1) & (m["ncols"] == 1)
+
+
+def is_vector(m: Column) -> Column:
+    return (m["nrows"] == 1) | (m["ncols"] == 1)
+
+
+def is_vector_len(m: Column, n: int) -> Column:
+    return is_vector(m) & (m["nrows"] * m["ncols"] == n)
+
+
+@bound
+def distance_n(a: Column, b: Column, n: int) -> Column:
+    """Distance over the first n numbers."""
+    d = F.zip_with(F.slice(a["data"], 1, n), F.slice(b["data"], 1, n), lambda x, y: (x - y) * (x - y))
+    return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x))
+
+
+@bound
+def largest_at(m: Column, row: int, columns: int) -> Column:
+    """Column of the largest magnitude off the diagonal among the first columns of a row; -1 if there is none."""
+    line = F.transform(F.slice(m["data"], F.lit(row) * m["ncols"] + 1, F.lit(columns)), lambda v, j: F.when(j == row, F.lit(-1.0)).otherwise(F.abs(v)))
+    return F.when(F.array_max(line) >= 0, F.array_position(line, F.array_max(line)) - 1).otherwise(F.lit(-1)).cast("int")
+
+
+PLU_TYPE = T.StructType([T.StructField(n, TYPE) for n in ("p", "l", "u")])
+
+
+def _plu(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p, l and u with m = p l u: elimination by rows, the largest of a column first."""
+    rows, cols = m.shape
+    u, order, n = m.astype(float).copy(), np.arange(rows), min(rows, cols)
+    low = np.zeros((rows, n))
+    for k in range(n):
+        best = k + int(np.abs(u[k:, k]).argmax())
+        for a in (u, low, order):
+            a[[k, best]] = a[[best, k]]
+        low[k, k] = 1
+        if u[k, k]:
+            low[k + 1 :, k] = u[k + 1 :, k] / u[k, k]
+            u[k + 1 :] -= np.outer(low[k + 1 :, k], u[k])
+    p = np.zeros((rows, rows))
+    p[order, np.arange(rows)] = 1
+    return p, low, np.triu(u[:n])
+
+
+@F.pandas_udf(PLU_TYPE)
+def plu(m: pd.DataFrame) -> pd.DataFrame:
+    """p, l and u with p l u = m."""
+    keys, out = ("nrows", "ncols", "data"), []
+    for a in _arrays(m):
+        out.append([dict(zip(keys, _row(x))) for x in (_plu(a) if a is not None else (None,) * 3)])
+    return pd.DataFrame(out, columns=["p", "l", "u"])
+
+
+@bound
+def _diagonal_product(m: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), m["ncols"] - 1), F.lit(1.0), lambda s, k: s * F.get(m["data"], k * m["ncols"] + k))
+
+
+@bound
+def plu_det(f: Column) -> Column:
+    """The determinant from a factored matrix; the sign is that of its permutation."""
+    order = F.transform(F.sequence(F.lit(0), f["p"]["ncols"] - 1), lambda c: F.array_position(F.transform(F.sequence(F.lit(0), f["p"]["nrows"] - 1), lambda r: F.get(f["p"]["data"], r * f["p"]["ncols"] + c)), F.lit(1.0)))
+
+    def sign(o: Column) -> Column:
+        swaps = F.aggregate(F.transform(o, lambda x, i: F.size(F.filter(F.slice(o, 1, i), lambda y: y > x))), F.lit(0), lambda s, x: s + x)
+        return F.when(swaps % 2 == 0, 1.0).otherwise(-1.0)
+
+    return F.get(F.transform(F.array(order), sign), F.lit(0)) * _diagonal_product(f["u"])
+
+
+def _triangular(m, b, lower: bool, turned: bool = False):
+    if m is None or b is None or m.shape[0] != m.shape[1] or m.shape[0] != b.shape[0] or (np.diag(m) == 0).any():
+        return None
+    return np.linalg.solve((np.tril(m).T if turned else np.tril(m)) if lower else np.triu(m), b)
+
+
+@F.pandas_udf(TYPE)
+def solve_lower(l: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+    """x of l x = b; what stands above the diagonal of l is ignored."""
+    return _frame(_triangular(x, y, True) for x, y in zip(_arrays(l), _arrays(b)))
+
+
+@F.pandas_udf(TYPE)
+def solve_lower_transposed(l: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+    """x of l' x = b."""
+    return _frame(_triangular(x, y, True, True) for x, y in zip(_arrays(l), _arrays(b)))
+
+
+@F.pandas_udf(TYPE)
+def solve_upper(u: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """x of u x = b; what stands below the diagonal of u is ignored."""
+    return _frame(_triangular(x, y, False) for x, y in zip(_arrays(u), _arrays(b)))
+
+
+def _frames(f: pd.DataFrame, name: str) -> pd.DataFrame:
+    return pd.DataFrame([r if r is not None else dict.fromkeys(("nrows", "ncols", "data")) for r in f[name]])
+
+
+@F.pandas_udf(TYPE)
+def plu_solve(f: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """x of m x = b from the factors of m."""
+    parts = zip(*(_arrays(_frames(f, n)) for n in ("p", "l", "u")), _arrays(b))
+    return _frame(None if p is None or y is None else _triangular(u, _try(_triangular, low, p.T @ y, True), False) for p, low, u, y in parts)
+
+
+@F.pandas_udf(TYPE)
+def chol_solve(u: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """x of m x = b from the upper Cholesky factor of m."""
+    return _frame(None if x is None else _triangular(x, _triangular(x.T, y, True), False) for x, y in zip(_arrays(u), _arrays(b)))
+
+
+@F.pandas_udf(TYPE)
+def chol_inverse(u: pd.DataFrame) -> pd.DataFrame:
+    """The inverse of a matrix from its upper Cholesky factor."""
+    return _frame(None if x is None else _triangular(x, _triangular(x.T, np.eye(len(x)), True), False) for x in _arrays(u))
+
+
 def evaluate(expression: str, *args: Column) -> Column:
     """A matrix expression over the arguments in order of their letters M (or F): products by * or side by side, sums,
     differences, parentheses, ' for the transpose, ^-1 for the inverse, and numbers as scalars. Built as a column."""

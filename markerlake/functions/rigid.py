@@ -201,3 +201,146 @@ def xyt_to_mat44(a: Column) -> Column:
 def mat44_to_xyt(m: Column) -> Column:
     a = _at(m, 8)
     return vec(a[3], a[7], F.atan2(a[4], a[0]))
+
+
+def added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def subtracted(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def squared_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(subtracted(a, b), F.lit(0.0), lambda s, x: s + x * x)
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(squared_distance(a, b))
+
+
+@bound
+def cross_matrix(a: Column) -> Column:
+    """The 3x3 matrix whose product with b is the cross product of a and b."""
+    x, y, z = _at(a, 3)
+    return vec(0, -z, y, z, 0, -x, -y, x, 0)
+
+
+@bound
+def mat_product(a: Column, b: Column, rows: int, inner: int, cols: int, turn_a: bool = False, turn_b: bool = False) -> Column:
+    """a (rows x inner) times b (inner x cols), either given as its transpose; cols = 1 takes a vector."""
+    left = lambda i, k: F.get(a, F.lit(k * rows + i if turn_a else i * inner + k))
+    right = lambda k, j: F.get(b, F.lit(j * inner + k if turn_b else k * cols + j))
+    cell = lambda i, j: sum((left(i, k) * right(k, j) for k in range(1, inner)), left(i, 0) * right(0, j))
+    return vec(*(cell(i, j) for i in range(rows) for j in range(cols)))
+
+
+def angleaxis_to_mat44(angle: Column, axis: Column) -> Column:
+    return quat_to_mat44(angleaxis_to_quat(angle, axis))
+
+
+def rpy_to_mat44(roll: Column, pitch: Column, yaw: Column) -> Column:
+    return quat_to_mat44(rpy_to_quat(roll, pitch, yaw))
+
+
+@bound
+def xyzrpy_to_mat44(v: Column) -> Column:
+    x, y, z, roll, pitch, yaw = _at(v, 6)
+    return quat_to_mat44(rpy_to_quat(roll, pitch, yaw), vec(x, y, z))
+
+
+@bound
+def mat44_to_xyz(m: Column) -> Column:
+    return vec(*(F.get(m, F.lit(k)) for k in (3, 7, 11)))
+
+
+def quat_xyz_to_xyt(q: Column, xyz: Column) -> Column:
+    return mat44_to_xyt(quat_to_mat44(q, xyz))
+
+
+def xyt_inverse_multiply(a: Column, b: Column) -> Column:
+    """b as seen from a."""
+    return xyt_multiply(xyt_inverse(a), b)
+
+
+def identity44() -> Column:
+    return translation(0, 0, 0)
+
+
+def scaling(x, y, z) -> Column:
+    return vec(x, 0, 0, 0, 0, y, 0, 0, 0, 0, z, 0, 0, 0, 0, 1)
+
+
+@bound
+def rotation(angle: Column, axis: str) -> Column:
+    """About the axis x, y or z; mat44_multiply(m, rotation(...)) turns within m's frame."""
+    c, s = F.cos(angle), F.sin(angle)
+    return {"x": vec(1, 0, 0, 0, 0, c, -s, 0, 0, s, c, 0, 0, 0, 0, 1), "y": vec(c, 0, s, 0, 0, 1, 0, 0, -s, 0, c, 0, 0, 0, 0, 1), "z": vec(c, -s, 0, 0, s, c, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)}[axis]
+
+
+def mat44_inverse_transform(m: Column, p: Column) -> Column:
+    return mat44_transform(mat44_inverse(m), p)
+
+
+def mat44_inverse_rotate(m: Column, v: Column) -> Column:
+    return mat44_rotate(mat44_inverse(m), v)
+
+
+@bound
+def look_at(eye: Column, target: Column, up: Column) -> Column:
+    """Pose of a camera at eye that looks along its negative z axis at target, its y axis as near to up as that allows."""
+    back = normalized(subtracted(eye, target))
+
+    def framed(z: Column) -> Column:
+        side = normalized(cross(up, z))
+        return F.get(F.transform(F.array(F.struct(side.alias("x"), cross(z, side).alias("y"))), lambda f: vec(*(v for k in range(3) for v in (F.get(f["x"], F.lit(k)), F.get(f["y"], F.lit(k)), F.get(z, F.lit(k)), F.get(eye, F.lit(k)))), 0, 0, 0, 1)), F.lit(0))
+
+    return F.get(F.transform(F.array(back), framed), F.lit(0))
+
+
+def _carried(j: Column, cov: Column) -> Column:
+    """j cov j' of 3x3 matrices."""
+    return mat_product(mat_product(j, cov, 3, 3, 3), j, 3, 3, 3, turn_b=True)
+
+
+@bound
+def xytcov_multiply(a: Column, cov_a: Column, b: Column, cov_b: Column) -> Column:
+    """struct(xyt, cov) of a, then b, with uncertainties that do not depend on each other."""
+    t, (x, y) = F.get(a, F.lit(2)), _at(b, 2)
+    c, s = F.cos(t), F.sin(t)
+    by_a, by_b = vec(1, 0, -s * x - c * y, 0, 1, c * x - s * y, 0, 0, 1), vec(c, -s, 0, s, c, 0, 0, 0, 1)
+    return F.struct(xyt_multiply(a, b).alias("xyt"), added(_carried(by_a, cov_a), _carried(by_b, cov_b)).alias("cov"))
+
+
+@bound
+def xytcov_inverse(a: Column, cov: Column) -> Column:
+    x, y, t = _at(a, 3)
+    c, s = F.cos(t), F.sin(t)
+    return F.struct(xyt_inverse(a).alias("xyt"), _carried(vec(-c, -s, s * x - c * y, s, -c, c * x + s * y, 0, 0, -1), cov).alias("cov"))
+
+
+@bound
+def chol33(m: Column) -> Column:
+    """Lower l with l l' = m, for a symmetric positive definite 3x3 m; NaN where it is not."""
+    g = lambda a, k: F.get(a, F.lit(k))
+    one = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
+    first = vec(F.sqrt(g(m, 0)), g(m, 3) / F.sqrt(g(m, 0)), g(m, 6) / F.sqrt(g(m, 0)))
+
+    def second(a: Column) -> Column:
+        d = F.sqrt(g(m, 4) - g(a, 1) * g(a, 1))
+        return one(vec(d, (g(m, 7) - g(a, 1) * g(a, 2)) / d), lambda b: vec(g(a, 0), 0, 0, g(a, 1), g(b, 0), 0, g(a, 2), g(b, 1), F.sqrt(g(m, 8) - g(a, 2) * g(a, 2) - g(b, 1) * g(b, 1))))
+
+    return one(first, second)
+
+
+@bound
+def lower_inverse33(m: Column) -> Column:
+    a, b, c, d, e, f = (F.get(m, F.lit(k)) for k in (0, 3, 4, 6, 7, 8))
+    return vec(1 / a, 0, 0, -b / (a * c), 1 / c, 0, (b * e - c * d) / (a * c * f), -e / (c * f), 1 / f)
+
+
+@bound
+def solve_symmetric33(m: Column, b: Column) -> Column:
+    """x of m x = b, through the Cholesky factor."""
+    i = lower_inverse33(chol33(m))
+    return F.get(F.transform(F.array(i), lambda u: mat_product(u, mat_product(u, b, 3, 3, 1), 3, 3, 1, turn_a=True)), F.lit(0))

@@ -114,3 +114,83 @@ def hhmmss_to_utime(v: Column) -> Column:
     hundredths = F.floor(v * 100 + 0.5).cast("long")
     h, m, s = F.floor(hundredths / 1_000_000), F.floor(hundredths / 10_000) % 100, hundredths % 10_000
     return ((h * 3600 + m * 60) * 1_000_000 + s * 10_000).cast("long")
+
+
+def near(a: Column, b: Column, within: float = 1e-9) -> Column:
+    return F.abs(a - b) < within
+
+
+def ms_to_us(v: Column) -> Column:
+    return v.cast("long") * 1000
+
+
+def is_variable_character(c: Column) -> Column:
+    return c.rlike("^[A-Za-z0-9_]$")
+
+
+def expand_variables(s: Column, values: dict[str, str]) -> Column:
+    """Each $NAME (letters, digits and _) by its value, by nothing where it has none. The values are a parameter, since
+    executors have their own environments."""
+    names = F.regexp_extract_all(s, F.lit(r"\$([A-Za-z0-9_]*)"), 1)
+    known = F.create_map(*(F.lit(x) for pair in {"": "", **values}.items() for x in pair))
+    gaps = F.split(s, r"\$[A-Za-z0-9_]*", -1)
+    return F.array_join(F.flatten(F.zip_with(gaps, names, lambda g, n: F.array(F.coalesce(g, F.lit("")), F.coalesce(F.try_element_at(known, n), F.lit(""))))), "")
+
+
+def upper_ascii(s: Column) -> Column:
+    return F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def lower_ascii(s: Column) -> Column:
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def equal_ignoring_case(a: Column, b: Column) -> Column:
+    return lower_ascii(a) == lower_ascii(b)
+
+
+def matches_any(s: Column, parts: list[str]) -> Column:
+    return s.isin(*parts)
+
+
+# A feeder is a text with a place in it: struct(s, at), at counted from 0.
+
+
+def feeder(s: Column) -> Column:
+    return F.struct(s.alias("s"), F.lit(0).alias("at"))
+
+
+def _read(f: Column) -> Column:
+    return F.substring(f["s"], F.lit(1), f["at"])
+
+
+def feeder_has_next(f: Column) -> Column:
+    return f["at"] < F.length(f["s"])
+
+
+def feeder_peek(f: Column, n: int = 1) -> Column:
+    """The next n characters, or as many as there are."""
+    return F.substring(f["s"], f["at"] + 1, F.lit(n))
+
+
+def feeder_advance(f: Column, n: int = 1) -> Column:
+    return F.struct(f["s"].alias("s"), F.least(f["at"] + n, F.length(f["s"])).alias("at"))
+
+
+def feeder_starts_with(f: Column, part: str) -> Column:
+    return feeder_peek(f, len(part)) == part
+
+
+def feeder_require(f: Column, part: str) -> Column:
+    """The feeder after part, null where the text goes on otherwise."""
+    return F.when(feeder_starts_with(f, part), feeder_advance(f, len(part)))
+
+
+def feeder_line(f: Column) -> Column:
+    """Line of the place, from 1."""
+    return F.length(F.regexp_replace(_read(f), "[^\n]", "")) + 1
+
+
+def feeder_column(f: Column) -> Column:
+    """Characters since the line began."""
+    return F.length(F.substring_index(_read(f), "\n", -1))

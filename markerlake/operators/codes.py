@@ -54,12 +54,13 @@ def decode(codes: DataFrame, family: DataFrame, nbits: int, max_hamming: int = 2
     if max_hamming > MOST:
         raise ValueError(f"the chunk index finds at most {MOST} errors")
     keys = codes.columns
-    probe = rotations(codes, nbits) if turns else codes.withColumns({"rotation": F.lit(0), "turned": F.col("rcode")})
-    probe = probe.withColumn("c", _chunks(nbits, "turned")).select(*keys, "rotation", "turned", "c.chunk_no", "c.chunk_val")
+    once = codes.groupBy(*keys).agg(F.count("*").alias("_n"))  # repeated rows are looked up once and given back as often
+    probe = rotations(once, nbits) if turns else once.withColumns({"rotation": F.lit(0), "turned": F.col("rcode")})
+    probe = probe.withColumn("c", _chunks(nbits, "turned")).select(*keys, "_n", "rotation", "turned", "c.chunk_no", "c.chunk_val")
     d = hamming(F.col("code"), F.col("turned"))
     hits = probe.join(F.broadcast(code_chunks(family, nbits)), ["chunk_no", "chunk_val"]).withColumn("hamming", d).filter(F.col("hamming") <= max_hamming)
-    best = F.min(F.struct("rotation", "chunk_no", "id", "hamming")).alias("b")
-    return hits.groupBy(*keys).agg(best).select(*keys, "b.id", "b.hamming", "b.rotation")
+    best = hits.groupBy(*keys).agg(F.min(F.struct("rotation", "chunk_no", "id", "hamming")).alias("b"), F.first("_n").alias("_n"))
+    return best.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*keys, "b.id", "b.hamming", "b.rotation")
 
 
 def min_distance(family: DataFrame, nbits: int, turns: bool = True) -> DataFrame:
@@ -105,13 +106,25 @@ def hamming_histogram(detections: DataFrame, bins: int = 10) -> DataFrame:
     return detections.rollup("image_id").agg(*counts, F.count("*").alias("total"))
 
 
-def dominated(boxes: DataFrame, keys: list[str], overlaps: Column) -> DataFrame:
+def cells(boxes: DataFrame, x: str, y: str, side: float, around: bool = False) -> DataFrame:
+    """boxes with the grid cell (cx, cy) of their corner; around: a row for each of the nine cells at it. Boxes that are
+    no larger than side and touch meet in one cell, so an equi-join finds them."""
+    at = [F.floor(F.col(c) / side).cast("long") for c in (x, y)]
+    if not around:
+        return boxes.withColumns({"cx": at[0], "cy": at[1]})
+    near = F.explode(F.array(*(F.struct((at[0] + i).alias("cx"), (at[1] + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    return boxes.withColumn("_cell", near).select(*boxes.columns, "_cell.cx", "_cell.cy")
+
+
+def dominated(boxes: DataFrame, keys: list[str], overlaps: Column, grid: tuple[str, str, float] | None = None) -> DataFrame:
     """boxes without those that a better one of equal keys overlaps: fewer errors, then larger margin, then smaller
-    id. overlaps is a predicate over columns of a. and b."""
-    a, b = boxes.alias("a"), boxes.alias("b")
+    id. overlaps is a predicate over columns of a. and b.; grid (x, y, side) keeps boxes that are no larger than side
+    from meeting all others of equal keys."""
+    a, b = (cells(boxes, *grid), cells(boxes, *grid, around=True)) if grid else (boxes, boxes)
+    a, b, on = a.alias("a"), b.alias("b"), [*keys, "cx", "cy"] if grid else keys
     rank = lambda t: F.struct(F.col(f"{t}.hamming"), -F.col(f"{t}.margin"), F.col(f"{t}.box_id"))
-    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
-    return a.join(b, same & (rank("b") < rank("a")) & overlaps, "left_anti")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in on))
+    return a.join(b, same & (rank("b") < rank("a")) & overlaps, "left_anti").select(*boxes.columns)
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -51,6 +51,30 @@ def gray_from_rgb(px: DataFrame) -> DataFrame:
     return px.select("image_id", "y", "x", div(F.col("r") + F.col("g") + F.col("g") + F.col("b"), 4).alias("v"))
 
 
+def gray_from_float(px: DataFrame) -> DataFrame:
+    """Values from 0 to 1 as whole numbers up to 255, cut off."""
+    return px.withColumn("v", (F.col("v") * 255).cast("int"))
+
+
+def by_channel(px: DataFrame, channels: list[str], f) -> DataFrame:
+    """f over each channel column of pixels(image_id, y, x, ...) as v: one pass over all channels, as images of their
+    own."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("int").alias("v")) for c in channels)))
+    flat = px.select(F.col("image_id").alias("_image"), "y", "x", each.alias("p")).select(F.struct("_image", "p.c").alias("image_id"), "y", "x", "p.v")
+    done = f(flat).select("image_id.*", "y", "x", "v")
+    return done.groupBy(F.col("_image").alias("image_id"), "y", "x").agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).alias(c) for c in channels))
+
+
+def blur_colours(px: DataFrame, kernel: list[int]) -> DataFrame:
+    """pixels(image_id, y, x, r, g, b), blurred channel by channel."""
+    return by_channel(px, ["r", "g", "b"], lambda p: blur(p, kernel))
+
+
+def with_alpha(px: DataFrame, alpha: int = 255) -> DataFrame:
+    """pixels(image_id, y, x, r, g, b) with a constant a."""
+    return px.withColumn("a", F.lit(alpha))
+
+
 def gaussian_kernel(sigma: float, size: int) -> list[int]:
     """Kernel of whole numbers, 255 times the normalised Gaussian, cut off."""
     import math
@@ -97,7 +121,7 @@ def threshold(px: DataFrame, min_diff: int = 5) -> DataFrame:
     """255 above the middle of the surrounding tiles' range, 0 else; 127 where the range is below min_diff. Pixels
     beyond the whole tiles take the nearest tile and are never 127."""
     s = sizes(px)
-    sized = px.join(F.broadcast(s), "image_id")  # a row for each image; a shuffle of pixels is what it saves
+    sized = px.join(s, "image_id")  # Spark broadcasts the sizes where they are small
     last = lambda c, n: F.least(div(F.col(c), TILE), div(F.col(n), TILE) - 1)
     near = sized.select("image_id", "y", "x", "v", last("y", "h").alias("ty"), last("x", "w").alias("tx"), ((div(F.col("y"), TILE) < div(F.col("h"), TILE)) & (div(F.col("x"), TILE) < div(F.col("w"), TILE))).alias("inside"))
     both = near.join(tile_dilate(tile_minmax(px)), ["image_id", "ty", "tx"])
@@ -131,7 +155,7 @@ def deglitch(binary: DataFrame) -> DataFrame:
     """3x3 maximum, then 3x3 minimum, of inner pixels; the outermost ring stays, and counts as 0 for the minimum."""
     s = sizes(binary)
     inner = (F.col("x") >= 1) & (F.col("y") >= 1) & (F.col("x") + 1 < F.col("w")) & (F.col("y") + 1 < F.col("h"))
-    sized = binary.join(F.broadcast(s), "image_id").withColumn("inner", inner).withColumn("orig", F.col("v"))
+    sized = binary.join(s, "image_id").withColumn("inner", inner).withColumn("orig", F.col("v"))
     high = _box(sized, F.max).withColumn("v", F.when(F.col("inner"), F.col("v")).otherwise(0))
     low = _box(high, F.min)
     return low.select("image_id", "y", "x", F.when(F.col("inner"), F.col("v")).otherwise(F.col("orig")).alias("v"))
@@ -142,7 +166,7 @@ def rotate(px: DataFrame, radians: float, pad: int = 0) -> DataFrame:
     import math
 
     c, s = math.cos(radians), math.sin(radians)
-    grid = px.join(F.broadcast(sizes(px)), "image_id").select("image_id", "y", "x", "w", "h")
+    grid = px.join(sizes(px), "image_id").select("image_id", "y", "x", "w", "h")
     ox, oy = F.col("x") - F.col("w") / 2 + 0.5, F.col("y") - F.col("h") / 2 + 0.5
     sx = F.floor(ox * c - oy * s + F.col("w") / 2).cast("int")
     sy = F.floor(ox * s + oy * c + F.col("h") / 2).cast("int")

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def label_image(v: np.ndarray, mixed: bool = True) -> np.ndarray:
@@ -47,7 +46,7 @@ def components(px: DataFrame, mixed: bool = True) -> DataFrame:
         v[pdf.y, pdf.x] = pdf.v
         return pdf.assign(comp=label_image(v, mixed)[pdf.y, pdf.x])[["image_id", "y", "x", "v", "comp"]]
 
-    return px.select("image_id", F.col("y").cast("int"), F.col("x").cast("int"), F.col("v").cast("int")).groupBy("image_id").applyInPandas(run, "image_id int, y int, x int, v int, comp long")
+    return px.select("image_id", F.col("y").cast("int"), F.col("x").cast("int"), F.col("v").cast("int")).groupBy("image_id").applyInPandas(run, f"image_id {dict(px.dtypes)['image_id']}, y int, x int, v int, comp long")
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
@@ -61,24 +60,22 @@ def boundary_points(labelled: DataFrame, min_pixels: int = 24) -> DataFrame:
     n = component_sizes(labelled).filter(F.col("n") >= min_pixels).select("image_id", "comp")
     big = labelled.filter("v <> 127").join(n, ["image_id", "comp"])
     edge = labelled.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    row = W.partitionBy("image_id", "y").orderBy("x")
-    below = big.select("image_id", (F.col("y") - 1).alias("y"), "x", F.struct("x", "v", "comp").alias("s"))
-    around = below.withColumn("ws", F.struct("x", "s")).groupBy("image_id", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "s"))).alias("row"))
-    east = F.when(F.lead("x").over(row) == F.col("x") + 1, F.struct(F.lead("v").over(row).alias("v"), F.lead("comp").over(row).alias("comp")))
-    p = big.withColumn("east", east).join(around, ["image_id", "y"], "left").join(F.broadcast(edge), "image_id")
-    under = lambda d: F.try_element_at("row", F.col("x") + d)
+    # Each pixel goes to those that look at it, and one grouping gathers what a pixel sees.
+    looks = {"me": (0, 0), "e": (1, 0), "w": (-1, 0), "s": (0, 1), "sw": (-1, 1), "se": (1, 1)}
+    sent = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), "v", "comp") for k, (dx, dy) in looks.items()))
+    seen = big.select("image_id", F.explode(sent).alias("p")).select("image_id", "p.*")
+    p = seen.groupBy("image_id", "y", "x").agg(*(F.max(F.when(F.col("k") == k, F.struct("v", "comp"))).alias(k) for k in looks)).filter("me IS NOT NULL")
     inside = (F.col("x") >= 1) & (F.col("x") < F.col("mx")) & (F.col("y") >= 1) & (F.col("y") < F.col("my"))
-    p = p.filter(inside).select("image_id", "y", "x", "v", "comp", "east", under(0).alias("s"), under(1).alias("se"), under(-1).alias("sw"))
-    meets = lambda c: F.coalesce(F.col(c)["v"] + F.col("v") == 255, F.lit(False))
-    left = F.coalesce((F.lag("x").over(row) == F.col("x") - 1) & F.lag(meets("se")).over(row), F.lit(False))
-    p = p.withColumn("left_met", left)
+    p = p.join(edge, "image_id").filter(inside)
+    apart = lambda a, b: F.coalesce(F.col(a)["v"] + F.col(b)["v"] == 255, F.lit(False))
+    left_met = (F.col("x") >= 2) & apart("w", "s")  # the left pixel's south-east is this one's south
 
     def point(dx: int, dy: int, c: str, also=None):
-        ok = meets(c) if also is None else meets(c) & also
-        d = F.col(c)["v"] - F.col("v")
-        return F.when(ok, F.struct(F.greatest("comp", F.col(c)["comp"]).alias("rep_hi"), F.least("comp", F.col(c)["comp"]).alias("rep_lo"), (2 * F.col("x") + dx).alias("x2"), (2 * F.col("y") + dy).alias("y2"), (dx * d).alias("gx"), (dy * d).alias("gy")))
+        ok = apart("me", c) if also is None else apart("me", c) & also
+        d, mine, other = F.col(c)["v"] - F.col("me")["v"], F.col("me")["comp"], F.col(c)["comp"]
+        return F.when(ok, F.struct(F.greatest(mine, other).alias("rep_hi"), F.least(mine, other).alias("rep_lo"), (2 * F.col("x") + dx).alias("x2"), (2 * F.col("y") + dy).alias("y2"), (dx * d).alias("gx"), (dy * d).alias("gy")))
 
-    points = F.array(point(1, 0, "east"), point(0, 1, "s"), point(-1, 1, "sw", ~F.col("left_met")), point(1, 1, "se"))
+    points = F.array(point(1, 0, "e"), point(0, 1, "s"), point(-1, 1, "sw", ~left_met), point(1, 1, "se"))
     return p.select("image_id", F.explode(F.array_compact(points)).alias("p")).select("image_id", "p.*")
 
 
@@ -91,6 +88,17 @@ def cluster_stats(points: DataFrame) -> DataFrame:
     return box.select(*keys, "n", "x2min", "x2max", "y2min", "y2max", cx.alias("cx"), cy.alias("cy"), dot.alias("dot"))
 
 
+def sized_clusters(stats: DataFrame, width: int, height: int, min_pixels: int = 24) -> DataFrame:
+    """Clusters of at least min_pixels points and no more than twice the image's border."""
+    return stats.filter(F.col("n").between(min_pixels, 4 * (width + height)))
+
+
+def outward(stats: DataFrame, normal: bool = True, reversed_border: bool = False) -> DataFrame:
+    """Clusters with reversed (light inside dark); those of a border that no family has are left out."""
+    marked = stats.withColumn("reversed", F.col("dot") < 0)
+    return marked.filter((F.col("reversed") & F.lit(reversed_border)) | (~F.col("reversed") & F.lit(normal)))
+
+
 def slope(dx, dy):
     """A number that grows with the angle of (dx, dy) around the centre, without trigonometry."""
     quadrant = F.when(dy > 0, F.when(dx > 0, 65536).otherwise(131072)).otherwise(F.when(dx > 0, 0).otherwise(-65536))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..engine import MarkerEngine
 from ..families import FAMILIES
 from ..functions import geometry as g
+from ..functions import matrices as mx
+from ..functions import rigid as rg
 from ..functions import scalars as s
 from ..operators import codes as c
 from ..operators import lines as ln
@@ -203,20 +205,50 @@ def _(spark, d):
     return out(sg.component_sizes(sg.components(v.binary(spark, d), mixed=False)), "comp", "n")
 
 
-@query("components_mixed")
+_NEAR8 = "(b.x = a.x - 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y - 1) OR (a.v = 255 AND b.y = a.y - 1 AND b.x IN (a.x - 1, a.x + 1))"
+#: Labels that spread to neighbours until none gets a smaller one.
+MIXED = f"""WITH RECURSIVE {v.BIN}, dim AS (SELECT max(x) AS mx, max(y) AS my FROM bin),
+e AS (SELECT a.y * 100 + a.x AS p, b.y * 100 + b.x AS q FROM bin a JOIN bin b ON a.v = b.v AND b.y BETWEEN a.y - 1 AND a.y AND b.x BETWEEN a.x - 1 AND a.x + 1 AND ({_NEAR8}), dim WHERE a.x BETWEEN 1 AND mx - 1),
+linked AS (SELECT p, q FROM e UNION ALL SELECT q, p FROM e),
+comp(p, comp) USING KEY (p) AS (SELECT y * 100 + x, y * 100 + x FROM bin UNION
+  SELECT linked.q, min(comp.comp) FROM comp JOIN linked ON comp.p = linked.p JOIN recurring.comp AS old ON old.p = linked.q WHERE comp.comp < old.comp GROUP BY linked.q)"""
+BOUNDARY = MIXED + """,
+big AS (SELECT y, x, v, comp FROM bin JOIN comp ON comp.p = bin.y * 100 + bin.x WHERE comp.comp IN (SELECT comp FROM comp GROUP BY comp HAVING count(*) >= 24)),
+met AS (SELECT a.*, b.v AS bv, b.comp AS bcomp, b.x - a.x AS dx, b.y - a.y AS dy FROM big a JOIN big b ON b.y IN (a.y, a.y + 1) AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.v + b.v = 255, dim
+  WHERE a.x BETWEEN 1 AND mx - 1 AND a.y BETWEEN 1 AND my - 1 AND (b.x - a.x, b.y - a.y) IN ((1, 0), (0, 1), (-1, 1), (1, 1))),
+pts AS (SELECT greatest(comp, bcomp) AS rep_hi, least(comp, bcomp) AS rep_lo, 2 * x + dx AS x2, 2 * y + dy AS y2, dx * (bv - v) AS gx, dy * (bv - v) AS gy FROM met
+  WHERE NOT (dx = -1 AND EXISTS (SELECT 1 FROM met l WHERE l.x = met.x - 1 AND l.y = met.y AND l.dx = 1 AND l.dy = 1)))"""
+STATS = BOUNDARY + """, box AS (SELECT rep_hi, rep_lo, count(*) AS n, (min(x2) + max(x2)) * 0.5::DOUBLE + 0.05118::DOUBLE AS cx, (min(y2) + max(y2)) * 0.5::DOUBLE - 0.028581::DOUBLE AS cy,
+  sum(x2 * gx) + sum(y2 * gy) AS s, sum(gx) AS sgx, sum(gy) AS sgy FROM pts GROUP BY ALL), stats AS (SELECT rep_hi, rep_lo, n, s - cx * sgx - cy * sgy AS dot FROM box)"""
+
+
+@query("components_mixed", f"{MIXED} SELECT (p // 100)::BIGINT AS y, (p % 100)::BIGINT AS x, comp::BIGINT AS comp FROM comp")
 def _(spark, d):
     return out(sg.components(v.binary(spark, d)), "y", "x", "comp")
 
 
-@query("boundary_points")
+@query("boundary_points", f"{BOUNDARY} SELECT {big('rep_hi', 'rep_lo', 'x2', 'y2', 'gx', 'gy')} FROM pts")
 def _(spark, d):
     return out(sg.boundary_points(sg.components(v.binary(spark, d))), "rep_hi", "rep_lo", "x2", "y2", "gx", "gy")
 
 
-@query("boundary_clusters")
+def _stats(spark, d):
+    return sg.cluster_stats(sg.boundary_points(sg.components(v.binary(spark, d))))
+
+
+@query("boundary_clusters", f"{STATS} SELECT {big('rep_hi', 'rep_lo', 'n')}, dot < 0 AS reversed FROM stats")
+def _(spark, d):
+    return _stats(spark, d).select("rep_hi", "rep_lo", "n", (F.col("dot") < 0).alias("reversed"))
+
+
+@query("cluster_size_filter", f"{STATS} SELECT {big('rep_hi', 'rep_lo', 'n')} FROM stats WHERE n BETWEEN 24 AND 800")
+def _(spark, d):
+    return out(sg.sized_clusters(_stats(spark, d), 100, 100), "rep_hi", "rep_lo", "n")
+
+
+@query("cluster_polarity", f"{STATS} SELECT {big('rep_hi', 'rep_lo')}, round(dot, 3) + 0.0 AS dot FROM stats WHERE dot >= 0")
 def _(spark, d):
-    st = sg.cluster_stats(sg.boundary_points(sg.components(v.binary(spark, d))))
-    return st.select("rep_hi", "rep_lo", "n", (F.col("dot") < 0).alias("reversed"))
+    return sg.outward(_stats(spark, d)).select("rep_hi", "rep_lo", (F.round("dot", 3) + F.lit(0.0)).alias("dot"))
 
 
 @query(
@@ -349,35 +381,63 @@ def _(spark, d):
     return c.rotations(v.probes(spark, d), v.NBITS).select("probe_id", F.col("rotation").cast("long").alias("rotation"), "turned")
 
 
-@query("hamming_bruteforce", f"WITH {v.CODES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::BIGINT AS d FROM codes a JOIN codes b ON a.id < b.id WHERE bit_count(xor(a.code, b.code)) <= 3")
+@query("hamming_bruteforce", f"WITH {v.NEAR_CODES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::BIGINT AS d FROM near_codes a JOIN near_codes b ON a.id < b.id WHERE bit_count(xor(a.code, b.code)) <= 3")
 def _(spark, d):
     """All code pairs within 3 errors: the chunk index makes them candidates, so no pair is tried without a shared chunk."""
-    k = v.codes(spark, d)
+    k = v.near_codes(spark, d)
     left, right = c.code_chunks(k, v.NBITS), c.code_chunks(k, v.NBITS).withColumnsRenamed({"id": "id2", "code": "code2"})
     dist = c.hamming(F.col("code"), F.col("code2"))
     return left.join(right, ["chunk_no", "chunk_val"]).filter("id < id2").withColumn("d", dist).filter("d <= 3").select(F.col("id").alias("a"), F.col("id2").alias("b"), F.col("d").cast("long").alias("d")).distinct()
 
 
-@query("family_min_distance", f"WITH {v.CODES}, s AS (SELECT * FROM codes WHERE id < 200) SELECT min(bit_count(xor(a.code, b.code)))::BIGINT AS min_distance FROM s a JOIN s b ON a.id < b.id")
+@query("family_min_distance", f"WITH {v.CODES} SELECT min(bit_count(xor(a.code, b.code)))::BIGINT AS min_distance FROM codes a JOIN codes b ON a.id < b.id")
 def _(spark, d):
-    """The first 200 codes as a family: a family's size is bounded by its format, and this one's by 200."""
-    return out(c.min_distance(v.codes(spark, d).filter("id < 200"), v.NBITS, turns=False), "min_distance")
+    """Least distance of all codes of the table."""
+    return out(c.min_distance(v.codes(spark, d), v.NBITS, turns=False), "min_distance")
 
 
-@query("family_min_distance_whole")
+@query("quad_family_join", "SELECT p_partkey AS quad_id, n_nationkey AS family FROM part JOIN nation ON (p_partkey % 2 = 0) = (n_regionkey % 2 = 0)")
 def _(spark, d):
-    """Least distance of all codes of the table, whatever their ids; without SQL, which would try all pairs."""
-    return out(c.min_distance(v.codes(spark, d), v.NBITS, turns=False), "min_distance")
+    """Quads with the families of their border; nations, a table that never grows, stand for families."""
+    quads = v.table(spark, d, "part").select(F.col("p_partkey").alias("quad_id"), (F.col("p_partkey") % 2 == 0).alias("reversed_border"))
+    families = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("family"), (F.col("n_regionkey") % 2 == 0).alias("reversed_border"))
+    return quads.join(F.broadcast(families), "reversed_border").select("quad_id", "family")  # 25 rows
 
 
-@query(
-    "quad_family_join",
-    "SELECT p_partkey AS quad_id, s_suppkey AS family FROM part JOIN supplier ON (p_partkey % 2 = 0) = (s_suppkey % 2 = 0) WHERE s_suppkey <= 6",
-)
+# every code of the small families with every 1 to 3 flips within its limit, as rows of a formula
+
+
+def _flips(nbits: int, limit: int) -> list[int]:
+    from itertools import combinations
+
+    return [0, *(sum(1 << b for b in bits) for k in range(1, limit + 1) for bits in combinations(range(nbits), k))]
+
+
+SMALL = {"tag16h5": 2, "tag25h9": 3, "tagCircle21h7": 3}
+
+
+def _flip_sql(name: str, limit: int) -> str:
+    f = FAMILIES[name]
+    masks = f"SELECT 0::BIGINT AS m UNION ALL SELECT m FROM b1{' UNION ALL SELECT m FROM b2' if limit > 1 else ''}{' UNION ALL SELECT m FROM b3' if limit > 2 else ''}"
+    return f"""SELECT '{name}' AS family, id, m, bit_count(m)::BIGINT AS hamming FROM (VALUES {', '.join(f'({i}::BIGINT)' for i in range(len(f.codes)))}) c(id),
+  (WITH b AS (SELECT i, 1::BIGINT << i::INT AS m FROM range({f.nbits}) r(i)), b1 AS (SELECT m FROM b), b2 AS (SELECT x.m + y.m AS m FROM b x JOIN b y ON x.i < y.i),
+  b3 AS (SELECT x.m + y.m + z.m AS m FROM b x JOIN b y ON x.i < y.i JOIN b z ON y.i < z.i) {masks})"""
+
+
+@query("decode_all_flips", " UNION ALL ".join(f"SELECT family, id, hamming, count(*) AS n FROM ({_flip_sql(k, n)}) GROUP BY ALL" for k, n in SMALL.items()))
 def _(spark, d):
-    quads = v.table(spark, d, "part").select(F.col("p_partkey").alias("quad_id"), (F.col("p_partkey") % 2 == 0).alias("reversed_border"))
-    families = v.table(spark, d, "supplier").filter("s_suppkey <= 6").select(F.col("s_suppkey").alias("family"), (F.col("s_suppkey") % 2 == 0).alias("reversed_border"))
-    return quads.join(F.broadcast(families), "reversed_border").select("quad_id", "family")  # six families
+    """Every code of the small families, with every set of flips that its distance corrects, decodes to itself: counts
+    by family, code and errors of the probes that did."""
+    found = None
+    for name, limit in SMALL.items():
+        f = FAMILIES[name]
+        codes_ = spark.createDataFrame(list(enumerate(f.codes)), "id long, code long")
+        masks = spark.createDataFrame([(m,) for m in _flips(f.nbits, limit)], "m long").repartition(spark.sparkContext.defaultParallelism)
+        probes = masks.join(F.broadcast(codes_.withColumnRenamed("id", "want"))).select("want", "m", F.col("code").bitwiseXOR(F.col("m")).alias("rcode"))  # a family's codes
+        hits = c.decode(probes, codes_, f.nbits, limit, turns=False).filter("id = want AND hamming = bit_count(m)")
+        one = hits.groupBy("id", F.col("hamming").cast("long").alias("hamming")).agg(F.count("*").alias("n")).select(F.lit(name).alias("family"), "id", "hamming", "n")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 # ---- geometry ----
@@ -393,11 +453,13 @@ _OVER = "abs(a.x0 - b.x0) <= 5 AND abs(a.y0 - b.y0) <= 5"
 
 @query("box_overlap", f"WITH {v.BOXES} SELECT a.box_id AS a, b.box_id AS b FROM boxes a JOIN boxes b ON a.fam = b.fam AND a.box_id < b.box_id WHERE {_OVER} AND NOT (abs(a.x0 - b.x0) = 5 AND a.y0 = b.y0) AND NOT (abs(a.y0 - b.y0) = 5 AND a.x0 = b.x0) AND NOT (a.x0 = b.x0 AND a.y0 = b.y0 AND false)")
 def _(spark, d):
-    a, b = v.boxes(spark, d).alias("a"), v.boxes(spark, d).alias("b")
-    hit = g.polygons_overlap(_square("a"), _square("b"))
-    pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.box_id") < F.col("b.box_id"))).filter(hit)
+    grid = ("x0", "y0", 6.0)  # boxes of side 5 that touch are in neighbouring cells
+    a, b = c.cells(v.boxes(spark, d), *grid).alias("a"), c.cells(v.boxes(spark, d), *grid, around=True).alias("b")
+    near = (F.col("a.fam") == F.col("b.fam")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.box_id") < F.col("b.box_id"))
     apart = ~((F.abs(F.col("a.x0") - F.col("b.x0")) == 5) & (F.col("a.y0") == F.col("b.y0"))) & ~((F.abs(F.col("a.y0") - F.col("b.y0")) == 5) & (F.col("a.x0") == F.col("b.x0")))
-    return pairs.filter(apart).select(F.col("a.box_id").alias("a"), F.col("b.box_id").alias("b"))
+    boxed = (F.abs(F.col("a.x0") - F.col("b.x0")) <= 5) & (F.abs(F.col("a.y0") - F.col("b.y0")) <= 5)
+    hit = F.when(boxed & apart, g.polygons_overlap(_square("a"), _square("b")))  # cheap tests first
+    return a.join(b, near).filter(hit).select(F.col("a.box_id").alias("a"), F.col("b.box_id").alias("b"))
 
 
 @query(
@@ -407,9 +469,7 @@ def _(spark, d):
 )
 def _(spark, d):
     over = (F.abs(F.col("a.x0") - F.col("b.x0")) < 5) & (F.abs(F.col("a.y0") - F.col("b.y0")) < 5)
-    return c.dominated(v.boxes(spark, d), ["fam"], over).select("box_id")
-
-
+    return c.dominated(v.boxes(spark, d), ["fam"], over, ("x0", "y0", 6.0)).select("box_id")
 
 
 @query(
@@ -438,13 +498,44 @@ def _(spark, d):
     return t.select("id", g.contains_point(tri, F.col("q")).alias("inside"))
 
 
-@query(
-    "polygon_area",
-    f"WITH {v.BOXES} SELECT box_id, 25.0::DOUBLE AS area, (x0 + 5.0 / 3 * 2)::DOUBLE IS NOT NULL AS ok FROM boxes",
-)
+_SHOE = " + ".join(f"(x{k} * y{(k + 1) % 4} - x{(k + 1) % 4} * y{k})" for k in range(4))
+
+
+@query("polygon_area", f"WITH {v.QUADS} SELECT quad_id, ({_SHOE}) / 2 AS area, CASE WHEN {_SHOE} < 0 THEN x3 ELSE x0 END AS first_x, (x0 + x1 + x2) / 3 AS inner_x FROM quads")
+def _(spark, d):
+    q = F.col("q")
+    return v.quads(spark, d).select("quad_id", (g.area2(q) / 2).alias("area"), F.get(g.make_ccw(q), F.lit(0))["x"].alias("first_x"), g.interior_point(q)["x"].alias("inner_x"))
+
+
+def _dist(a: int, b: int) -> str:
+    return f"sqrt((x{b} - x{a}) * (x{b} - x{a}) + (y{b} - y{a}) * (y{b} - y{a}))"
+
+
+def _tri(a: int, b: int, c_: int) -> str:
+    u, w, z = _dist(a, b), _dist(b, c_), _dist(c_, a)
+    h = f"(({u} + {w} + {z}) / 2)"
+    return f"sqrt(greatest(0.0, {h} * ({h} - {u}) * ({h} - {w}) * ({h} - {z})))"
+
+
+@query("quad_area_filter", f"WITH {v.QUADS}, a AS (SELECT quad_id, {_tri(0, 1, 2)} + {_tri(2, 3, 0)} AS area FROM quads) SELECT quad_id, round(area, 6) AS area FROM a WHERE area >= 0.95 * 10 * 10")
 def _(spark, d):
-    b = v.boxes(spark, d).alias("a")
-    return b.select("box_id", (g.area2(_square("a")) / 2).alias("area"), g.contains_point(_square("a"), g.interior_point(_square("a"))).alias("ok"))
+    area = g.heron_area(F.col("q"))
+    return v.quads(spark, d).select("quad_id", area.alias("area")).filter(F.col("area") >= 0.95 * 10 * 10).select("quad_id", F.round("area", 6).alias("area"))
+
+
+COS10 = 0.984807753012208
+
+
+def _corner(k: int) -> str:
+    i, j, m = k, (k + 1) % 4, (k + 2) % 4
+    ux, uy, wx, wy = f"(x{j} - x{i})", f"(y{j} - y{i})", f"(x{m} - x{j})", f"(y{m} - y{j})"
+    size = f"nullif(sqrt(({ux} * {ux} + {uy} * {uy}) * ({wx} * {wx} + {wy} * {wy})), 0)"
+    return f"coalesce(abs(({ux} * {wx} + {uy} * {wy}) / {size}) <= {COS10}::DOUBLE AND {ux} * {wy} >= {uy} * {wx}, false)"
+
+
+@query("quad_convexity", f"WITH {v.QUADS} SELECT quad_id FROM quads WHERE {' AND '.join(map(_corner, range(4)))}")
+def _(spark, d):
+    return v.quads(spark, d).filter(g.turns_convex(F.col("q"), COS10)).select("quad_id")
 
 
 H = (1.2, 0.1, 3.0, -0.2, 0.9, 1.0, 0.001, 0.002, 1.0)
@@ -491,14 +582,138 @@ def _(spark, d):
 
 @query(
     "matmul",
-    "WITH m AS (SELECT vec_id % 8 AS g, vec_id // 8 AS t, embedding AS e FROM embeddings WHERE vec_id < 16) SELECT a.g::BIGINT AS i, b.g::BIGINT AS j, round(sum(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))), 4) AS v FROM m a JOIN m b ON a.t = 0 AND b.t = 1 GROUP BY a.g, b.g",
+    "SELECT vec_id, i, j, round(list_sum([embedding[i * 8 + k]::DOUBLE * embedding[j * 8 + k]::DOUBLE FOR k IN range(1, 9)]), 6) + 0.0 AS v FROM embeddings, range(8) r(i), range(8) s(j)",
 )
 def _(spark, d):
-    """Product of two matrices of eight rows: entries (row, k, value) meet on k and are summed."""
-    e = v.table(spark, d, "embeddings").filter("vec_id < 16").select("vec_id", F.posexplode("embedding").alias("k", "e"))
-    a = e.filter("vec_id < 8").select(F.col("vec_id").alias("i"), "k", F.col("e").cast("double").alias("a"))
-    b = e.filter("vec_id >= 8").select((F.col("vec_id") - 8).alias("j"), "k", F.col("e").cast("double").alias("b"))
-    return a.join(b, "k").groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 4).alias("v"))
+    """Each vector as an 8 x 8 matrix, times its transpose."""
+    m = mx.matrix(8, 8, F.col("embedding"))
+    e = v.table(spark, d, "embeddings").select("vec_id", m.alias("m")).select("vec_id", mx.multiply(F.col("m"), mx.transpose(F.col("m"))).alias("p"))
+    cells = e.select("vec_id", F.posexplode("p.data").alias("at", "v"))
+    return cells.select("vec_id", F.floor(F.col("at") / 8).alias("i"), (F.col("at") % 8).cast("long").alias("j"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+def _e(k: int) -> str:
+    return f"embedding[{k + 1}]::DOUBLE"
+
+
+def _row(spark, d, sql: dict[str, tuple[str, object]]) -> DataFrame:
+    """vec_id, and each column of a table of (SQL, Spark) pairs, rounded."""
+    e = v.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    if sql is MATRIX:
+        m = mx.matrix(2, 2, F.slice("e", 1, 4))
+        e = e.withColumn("spd", mx.add(mx.multiply(m, mx.transpose(m)), mx.identity(2)))
+        e = e.withColumns({"upper_factor": mx.chol(F.col("spd")), "spd_factors": mx.plu(F.col("spd")), "factors": mx.plu(m)})
+    return e.select("vec_id", *((F.round(f(lambda k: F.get("e", F.lit(k))), 5) + F.lit(0.0)).alias(n) for n, (_, f) in sql.items()))
+
+
+def _row_sql(sql: dict[str, tuple[str, object]]) -> str:
+    return f"WITH t AS (SELECT vec_id, {', '.join(f'{_e(k)} AS e{k}' for k in range(20))} FROM embeddings) SELECT vec_id, {', '.join(f'round({q}, 5) + 0.0 AS {n}' for n, (q, _) in sql.items())} FROM t"
+
+
+_two = lambda e, k: mx.matrix(2, 2, F.array(*(e(k + j) for j in range(4))))
+_col = lambda e, k, n: mx.matrix(n, 1, F.array(*(e(k + j) for j in range(n))))
+_spd = lambda e: F.col("spd")
+_S11, _S12, _S22 = "(e0*e0 + e1*e1 + 1)", "(e0*e2 + e1*e3)", "(e2*e2 + e3*e3 + 1)"
+_DET = "(e0*e3 - e1*e2)"
+_low = lambda e: mx.matrix(2, 2, F.array(e(0) + 9, e(1), e(2), e(3) + 9))
+MATRIX: dict[str, tuple[str, object]] = {
+    "added": ("e0 + e4", lambda e: mx.get(mx.add(_two(e, 0), _two(e, 4)), 0, 0)),
+    "taken": ("e1 - e5", lambda e: mx.get(mx.subtract(_two(e, 0), _two(e, 4)), 0, 1)),
+    "scaled": ("e2 * 2.5", lambda e: mx.get(mx.scale(_two(e, 0), 2.5), 1, 0)),
+    "turned": ("e1", lambda e: mx.get(mx.transpose(_two(e, 0)), 1, 0)),
+    "product": ("e2*e5 + e3*e7", lambda e: mx.get(mx.multiply(_two(e, 0), _two(e, 4)), 1, 1)),
+    "chosen": ("e3", lambda e: mx.get_scalar(mx.select(_two(e, 0), 1, 1, 1, 1))),
+    "put": ("e0 + e4", lambda e: mx.get(mx.put(_two(e, 0), 0, 1, e(0) + e(4)), 0, 1)),
+    "replaced": ("e6", lambda e: mx.get(mx.set_data(_two(e, 0), F.array(*(e(4 + j) for j in range(4)))), 1, 0)),
+    "shapes": ("1::DOUBLE", lambda e: F.when(mx.is_vector(_col(e, 0, 3)) & mx.is_vector_len(_col(e, 0, 3), 3) & ~mx.is_vector(_two(e, 0)) & mx.is_scalar(mx.scalar(2.0)) & ~mx.is_scalar(_two(e, 0)), 1.0)),
+    "det": (_DET, lambda e: mx.det(_two(e, 0))),
+    "inverse": (f"CASE WHEN abs({_DET}) > 1e-3 THEN e3 / {_DET} END", lambda e: F.when(F.abs(e(0) * e(3) - e(1) * e(2)) > 1e-3, mx.get(mx.inverse(_two(e, 0)), 0, 0))),
+    "solved": (f"({_S22} * e8 - {_S12} * e9) / ({_S11} * {_S22} - {_S12} * {_S12})", lambda e: mx.get(mx.solve(_spd(e), _col(e, 8, 2)), 0, 0)),
+    "chol": (f"{_S12} / sqrt({_S11})", lambda e: mx.get(F.col("upper_factor"), 0, 1)),
+    "chol_solved": (f"({_S11} * e9 - {_S12} * e8) / ({_S11} * {_S22} - {_S12} * {_S12})", lambda e: mx.get(mx.chol_solve(F.col("upper_factor"), _col(e, 8, 2)), 1, 0)),
+    "chol_inverse": (f"-{_S12} / ({_S11} * {_S22} - {_S12} * {_S12})", lambda e: mx.get(mx.chol_inverse(F.col("upper_factor")), 0, 1)),
+    "plu_det": (_DET, lambda e: mx.plu_det(F.col("factors"))),
+    "plu_solved": (f"({_S22} * e8 - {_S12} * e9) / ({_S11} * {_S22} - {_S12} * {_S12})", lambda e: mx.get(mx.plu_solve(F.col("spd_factors"), _col(e, 8, 2)), 0, 0)),
+    "lower": ("(e9 - e2 * e8 / (e0 + 9)) / (e3 + 9)", lambda e: mx.get(mx.solve_lower(_low(e), _col(e, 8, 2)), 1, 0)),
+    "lower_turned": ("(e8 - e2 * e9 / (e3 + 9)) / (e0 + 9)", lambda e: mx.get(mx.solve_lower_transposed(_low(e), _col(e, 8, 2)), 0, 0)),
+    "upper": ("(e8 - e1 * e9 / (e3 + 9)) / (e0 + 9)", lambda e: mx.get(mx.solve_upper(_low(e), _col(e, 8, 2)), 0, 0)),
+    "dot": ("e0*e3 + e1*e4 + e2*e5", lambda e: mx.dot(_col(e, 0, 3), _col(e, 3, 3))),
+    "length": ("sqrt(e0*e0 + e1*e1 + e2*e2)", lambda e: mx.magnitude(_col(e, 0, 3))),
+    "apart": ("sqrt((e0-e3)*(e0-e3) + (e1-e4)*(e1-e4) + (e2-e5)*(e2-e5))", lambda e: mx.distance(_col(e, 0, 3), _col(e, 3, 3))),
+    "unit": ("e1 / sqrt(e0*e0 + e1*e1 + e2*e2)", lambda e: mx.get(mx.normalize(_col(e, 0, 3)), 1, 0)),
+    "apart_n": ("sqrt((e0-e3)*(e0-e3) + (e1-e4)*(e1-e4))", lambda e: mx.distance_n(_col(e, 0, 3), _col(e, 3, 3), 2)),
+    "crossed": ("e2*e3 - e0*e5", lambda e: mx.get(mx.cross(_col(e, 0, 3), _col(e, 3, 3)), 1, 0)),
+    "largest": ("greatest(e0, e1, e2, e3)", lambda e: mx.largest(_two(e, 0))),
+    "largest_at": ("CASE WHEN abs(e1) >= abs(e2) THEN 1 ELSE 2 END::DOUBLE", lambda e: mx.largest_at(mx.matrix(1, 3, F.array(e(0), e(1), e(2))), 0, 3).cast("double")),
+    "err_inf": ("greatest(abs(e0-e4), abs(e1-e5), abs(e2-e6), abs(e3-e7))", lambda e: mx.err_inf(_two(e, 0), _two(e, 4))),
+    "singular": ("0.5 * (sqrt((e0+e3)*(e0+e3) + (e2-e1)*(e2-e1)) + sqrt((e0-e3)*(e0-e3) + (e1+e2)*(e1+e2)))", lambda e: F.get(mx.svd(_two(e, 0))["s"], F.lit(0))),
+    "expression": ("e0*e4 + e2*e6 - 2 * e0", lambda e: mx.get(mx.evaluate("M'*M-2*M", _two(e, 0), _two(e, 4), _two(e, 0)), 0, 0)),
+}
+
+
+@query("matrix_ops", _row_sql(MATRIX))
+def _(spark, d):
+    """Each matrix function over the first numbers of every vector."""
+    return _row(spark, d, MATRIX)
+
+
+_v = lambda e, k, n=3: F.array(*(e(k + j) for j in range(n)))
+_at = lambda a, k: F.get(a, F.lit(k))
+_pd = lambda e: F.array(e(0) * e(0) + 2, e(0) * e(1), F.lit(0.0), e(0) * e(1), e(1) * e(1) + 2, F.lit(0.5), F.lit(0.0), F.lit(0.5), F.lit(3.0))
+_P11, _P12, _P22 = "(e0*e0 + 2)", "(e0*e1)", "(e1*e1 + 2)"
+_AX = "sqrt(e3*e3 + e4*e4 + e5*e5)"
+_MAT = "cos(e2) * cos(e1)", "cos(e2) * sin(e1) * sin(e0) - sin(e2) * cos(e0)", "cos(e2) * sin(e1) * cos(e0) + sin(e2) * sin(e0)"
+_pose = lambda e: rg.xyzrpy_to_mat44(F.array(e(6), e(7), e(8), e(0), e(1), e(2)))
+RIGID: dict[str, tuple[str, object]] = {
+    "added": ("e1 + e4", lambda e: _at(rg.added(_v(e, 0), _v(e, 3)), 1)),
+    "taken": ("e2 - e5", lambda e: _at(rg.subtracted(_v(e, 0), _v(e, 3)), 2)),
+    "scaled": ("e0 * 3", lambda e: _at(rg.scaled(_v(e, 0), 3.0), 0)),
+    "dot": ("e0*e3 + e1*e4 + e2*e5", lambda e: rg.dot(_v(e, 0), _v(e, 3))),
+    "apart": ("sqrt((e0-e3)*(e0-e3) + (e1-e4)*(e1-e4) + (e2-e5)*(e2-e5))", lambda e: rg.distance(_v(e, 0), _v(e, 3))),
+    "apart2": ("(e0-e3)*(e0-e3) + (e1-e4)*(e1-e4) + (e2-e5)*(e2-e5)", lambda e: rg.squared_distance(_v(e, 0), _v(e, 3))),
+    "unit": (f"e4 / {_AX}", lambda e: _at(rg.normalized(_v(e, 3)), 1)),
+    "crossed": ("e0*e4 - e1*e3", lambda e: _at(rg.cross(_v(e, 0), _v(e, 3)), 2)),
+    "cross_matrix": ("e2*e3 - e0*e5", lambda e: _at(rg.mat_product(rg.cross_matrix(_v(e, 0)), _v(e, 3), 3, 3, 1), 1)),
+    "ab": ("e0*e7 + e1*e9", lambda e: _at(rg.mat_product(_v(e, 0, 4), _v(e, 6, 4), 2, 2, 2), 1)),
+    "abt": ("e0*e8 + e1*e9", lambda e: _at(rg.mat_product(_v(e, 0, 4), _v(e, 6, 4), 2, 2, 2, turn_b=True), 1)),
+    "atb": ("e0*e7 + e2*e9", lambda e: _at(rg.mat_product(_v(e, 0, 4), _v(e, 6, 4), 2, 2, 2, turn_a=True), 1)),
+    "quat_product": ("e0*e7 + e1*e6 + e2*e9 - e3*e8", lambda e: _at(rg.quat_multiply(_v(e, 0, 4), _v(e, 6, 4)), 1)),
+    "quat_inverse": ("-e2 / (e0*e0 + e1*e1 + e2*e2 + e3*e3)", lambda e: _at(rg.quat_inverse(_v(e, 0, 4)), 2)),
+    "axis_turn": (f"cos(e0) + (e3/{_AX}) * (e3/{_AX}) * (1 - cos(e0))", lambda e: _at(rg.angleaxis_to_mat44(e(0), _v(e, 3)), 0)),
+    "axis_turn2": (f"(e3/{_AX}) * (e4/{_AX}) * (1 - cos(e0)) - (e5/{_AX}) * sin(e0)", lambda e: _at(rg.angleaxis_to_mat44(e(0), _v(e, 3)), 1)),
+    "rpy": (_MAT[1], lambda e: _at(rg.rpy_to_mat44(e(0), e(1), e(2)), 1)),
+    "rpy2": (_MAT[2], lambda e: _at(rg.rpy_to_mat44(e(0), e(1), e(2)), 2)),
+    "rpy_back": ("e0", lambda e: _at(rg.quat_to_rpy(rg.rpy_to_quat(e(0), e(1), e(2))), 0)),
+    "turned": ("-sin(e1) * e3 + cos(e1) * sin(e0) * e4 + cos(e1) * cos(e0) * e5", lambda e: _at(rg.quat_rotate(rg.rpy_to_quat(e(0), e(1), e(2)), _v(e, 3)), 2)),
+    "quat_back": (f"{_MAT[0]}", lambda e: _at(rg.quat_to_mat44(rg.mat44_to_quat(_pose(e))), 0)),
+    "moved": (f"{_MAT[0]} * e3 + ({_MAT[1]}) * e4 + ({_MAT[2]}) * e5 + e6", lambda e: _at(rg.mat44_transform(_pose(e), _v(e, 3)), 0)),
+    "led": (f"{_MAT[0]} * e3 + ({_MAT[1]}) * e4 + ({_MAT[2]}) * e5", lambda e: _at(rg.mat44_rotate(_pose(e), _v(e, 3)), 0)),
+    "moved_back": ("e4", lambda e: _at(rg.mat44_inverse_transform(_pose(e), rg.mat44_transform(_pose(e), _v(e, 3))), 1)),
+    "led_back": ("e5", lambda e: _at(rg.mat44_inverse_rotate(_pose(e), rg.mat44_rotate(_pose(e), _v(e, 3))), 2)),
+    "place": ("e7", lambda e: _at(rg.mat44_to_xyz(_pose(e)), 1)),
+    "heading": ("atan2(sin(e2) * cos(e1), cos(e2) * cos(e1))", lambda e: _at(rg.quat_xyz_to_xyt(rg.rpy_to_quat(e(0), e(1), e(2)), _v(e, 6)), 2)),
+    "chain": ("e0 * cos(e3) * 2 + e0 * 0.5", lambda e: _at(rg.mat44_transform(rg.mat44_multiply(rg.mat44_multiply(rg.identity44(), rg.scaling(e(0), 1, 1)), rg.rotation(e(3), "z")), rg.vec(2, 0, 0)), 0) + e(0) * 0.5),
+    "about_x": ("cos(e3) * e1 - sin(e3) * e2", lambda e: _at(rg.mat44_transform(rg.rotation(e(3), "x"), _v(e, 0)), 1)),
+    "about_y": ("-sin(e3) * e0 + cos(e3) * e2", lambda e: _at(rg.mat44_transform(rg.rotation(e(3), "y"), _v(e, 0)), 2)),
+    "shifted": ("e0 + e3", lambda e: _at(rg.mat44_transform(rg.translation(e(3), e(4), e(5)), _v(e, 0)), 0)),
+    "xyt": ("cos(e2)*e3 - sin(e2)*e4 + e0", lambda e: _at(rg.xyt_multiply(_v(e, 0), _v(e, 3)), 0)),
+    "xyt_seen": ("-sin(e2)*(e3-e0) + cos(e2)*(e4-e1)", lambda e: _at(rg.xyt_inverse_multiply(_v(e, 0), _v(e, 3)), 1)),
+    "xyt_inverse": ("sin(e2)*e0 - cos(e2)*e1", lambda e: _at(rg.xyt_inverse(_v(e, 0)), 1)),
+    "xyt_point": ("sin(e2)*e3 + cos(e2)*e4 + e1", lambda e: _at(rg.xyt_transform(_v(e, 0), _v(e, 3, 2)), 1)),
+    "cov_angle": ("6::DOUBLE", lambda e: _at(rg.xytcov_multiply(_v(e, 0), _pd(e), _v(e, 3), _pd(e))["cov"], 8)),
+    "cov_first": (f"{_P11} + 3 * pow(sin(e2)*e3 + cos(e2)*e4, 2) + pow(cos(e2), 2) * {_P11} - 2 * cos(e2) * sin(e2) * {_P12} + pow(sin(e2), 2) * {_P22}", lambda e: _at(rg.xytcov_multiply(_v(e, 0), _pd(e), _v(e, 3), _pd(e))["cov"], 0)),
+    "cov_inverse": (f"pow(cos(e2), 2) * {_P11} + 2 * cos(e2) * sin(e2) * {_P12} + pow(sin(e2), 2) * {_P22} - sin(e2) * (sin(e2)*e0 - cos(e2)*e1) + 3 * pow(sin(e2)*e0 - cos(e2)*e1, 2)", lambda e: _at(rg.xytcov_inverse(_v(e, 0), _pd(e))["cov"], 0)),
+    "factor": (f"sqrt({_P22} - {_P12} * {_P12} / {_P11})", lambda e: _at(rg.chol33(_pd(e)), 4)),
+    "factor_inverse": (f"1 / sqrt({_P22} - {_P12} * {_P12} / {_P11})", lambda e: _at(rg.lower_inverse33(rg.chol33(_pd(e))), 4)),
+    "sym_solved": ("e5", lambda e: _at(rg.solve_symmetric33(_pd(e), rg.mat_product(_pd(e), _v(e, 3), 3, 3, 1)), 2)),
+    "looked": ("-sqrt(pow(e3-e0, 2) + pow(e4-e1, 2) + pow(e5-e2, 2))", lambda e: _at(rg.mat44_inverse_transform(rg.look_at(_v(e, 0), _v(e, 3), rg.vec(0, 0, 1)), _v(e, 3)), 2)),
+}
+
+
+@query("rigid_ops", _row_sql(RIGID))
+def _(spark, d):
+    """Each function of rotations and rigid motions over the first numbers of every vector."""
+    return _row(spark, d, RIGID)
 
 
 @query(
@@ -542,6 +757,23 @@ def _(spark, d):
     )
 
 
+@query(
+    "string_more",
+    f"""SELECT page_id, upper(url) AS up, ends_with(url, 'l') AS ends, url = upper(url) AS same, lower(url) = lower(upper(url)) AS alike, replace(url, '/', 'x-') AS expanded,
+length(url) > 5 AS has_next, substring(url, 6, 3) AS peeked, starts_with(substring(url, 6), '//') AS starts, CASE WHEN starts_with(url, 'https') THEN substring(url, 6, 1) END AS required,
+1::BIGINT + length(regexp_replace(substring(html, 1, 40), '[^\\n]', '', 'g')) AS line, trim(concat('  ', url, ' ')) AS trimmed, url[1] BETWEEN 'a' AND 'z' AS variable, url IN ('a', 'b') AS known FROM pages""",
+)
+def _(spark, d):
+    u, f = F.col("url"), s.feeder(F.col("url"))
+    at5 = s.feeder_advance(f, 5)
+    return v.table(spark, d, "pages").select(
+        "page_id", s.upper_ascii(u).alias("up"), F.endswith(u, F.lit("l")).alias("ends"), (u == s.upper_ascii(u)).alias("same"), s.equal_ignoring_case(u, s.upper_ascii(u)).alias("alike"),
+        s.expand_variables(F.replace(u, F.lit("/"), F.lit("$A-")), {"A": "x"}).alias("expanded"), s.feeder_has_next(at5).alias("has_next"), s.feeder_peek(at5, 3).alias("peeked"),
+        s.feeder_starts_with(at5, "//").alias("starts"), s.feeder_peek(s.feeder_require(f, "https")).alias("required"), s.feeder_line(s.feeder_advance(s.feeder(F.col("html")), 40)).cast("long").alias("line"),
+        s.strip(F.concat(F.lit("  "), u, F.lit(" "))).alias("trimmed"), s.is_variable_character(F.substring(u, 1, 1)).alias("variable"), s.matches_any(u, ["a", "b"]).alias("known"),
+    )
+
+
 @query("split_nonempty", "SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '')[2] AS host, length(list_filter(string_split(url, '/'), lambda x: x <> ''))::BIGINT AS parts FROM pages")
 def _(spark, d):
     p = s.split_nonempty(F.col("url"), "/")

@@ -45,22 +45,31 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes(spark, sf_dir).select(F.col("id").alias("probe_id"), r.alias("rcode"))
 
 
+def near_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes, and each with one to three bits flipped under the id -1 - id: a table with close pairs."""
+    flipped = probes(spark, sf_dir).select((-1 - F.col("probe_id")).alias("id"), F.col("rcode").alias("code"))
+    return codes(spark, sf_dir).unionByName(flipped)
+
+
 CODES = f"codes AS (SELECT vec_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:{NBITS}], lambda x: CAST(x > 0 AS BIGINT))), lambda a, b: a * 2 + b) AS code FROM embeddings)"
 PROBES = CODES + f""", probes AS (SELECT id AS probe_id, xor(xor(xor(code, CAST(1 AS BIGINT) << CAST((id * 7) % {NBITS} AS INT)),
   CASE WHEN id % 3 >= 1 THEN CAST(1 AS BIGINT) << CAST((id * 7 + 11) % {NBITS} AS INT) ELSE 0 END),
   CASE WHEN id % 3 >= 2 THEN CAST(1 AS BIGINT) << CAST((id * 7 + 22) % {NBITS} AS INT) ELSE 0 END) AS rcode FROM codes)"""
 
 
+NEAR_CODES = PROBES + ", near_codes AS (SELECT id, code FROM codes UNION ALL SELECT -1 - probe_id, rcode FROM probes)"
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(box_id, fam, hamming, margin, x0, y0): squares of side 5 on a 40 x 40 field."""
     p = table(spark, sf_dir, "part")
     return p.select(
-        F.col("p_partkey").alias("box_id"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), (F.floor(F.col("p_partkey") / 2000)).cast("string")).alias("fam"),
-        (F.col("p_partkey") % 4).cast("int").alias("hamming"), F.col("p_retailprice").alias("margin"), (F.col("p_partkey") % 40).cast("int").alias("x0"), (F.col("p_partkey") * 7 % 40).cast("int").alias("y0"),
-    )
+        F.col("p_partkey").alias("box_id"), F.col("p_brand").alias("fam"), F.col("p_size").alias("hamming"), F.col("p_retailprice").alias("margin"),
+        (F.col("p_partkey") % 40).cast("int").alias("x0"), (F.col("p_partkey") * 7 % 40).cast("int").alias("y0"),
+    )
 
 
-BOXES = "boxes AS (SELECT p_partkey AS box_id, concat_ws('/', p_brand, CAST(p_size AS VARCHAR), CAST(p_partkey // 2000 AS VARCHAR)) AS fam, CAST(p_partkey % 4 AS INT) AS hamming, p_retailprice AS margin, CAST(p_partkey % 40 AS INT) AS x0, CAST(p_partkey * 7 % 40 AS INT) AS y0 FROM part)"
+BOXES = "boxes AS (SELECT p_partkey AS box_id, p_brand AS fam, p_size AS hamming, p_retailprice AS margin, CAST(p_partkey % 40 AS INT) AS x0, CAST(p_partkey * 7 % 40 AS INT) AS y0 FROM part)"
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
@@ -76,3 +85,15 @@ def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQ = f"""seq AS (SELECT l_suppkey AS k, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n,
   CAST(l_orderkey % 50 AS DOUBLE) AS x, CAST(l_partkey % 40 AS DOUBLE) AS y, CAST(floor(l_quantity) + 1 AS DOUBLE) AS w, CAST(floor(l_quantity) AS DOUBLE) AS q
   FROM lineitem WINDOW o AS (PARTITION BY l_suppkey ORDER BY {', '.join(ORDER)}))"""
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(quad_id, q): four corners by keys of part, many of them no proper quadrilaterals."""
+    k = F.col("p_partkey")
+    corner = lambda ax, ay, mx, my, nx, ny: F.struct((F.lit(ax) + k * mx % nx).cast("double").alias("x"), (F.lit(ay) + k * my % ny).cast("double").alias("y"))
+    return table(spark, sf_dir, "part").select(k.alias("quad_id"), F.array(*(corner(*c) for c in CORNERS)).alias("q"))
+
+
+#: Corner k of a quad: (ax + key * mx % nx, ay + key * my % ny).
+CORNERS = [(0, 0, 1, 3, 7, 5), (10, 0, 5, 1, 11, 6), (9, 9, 7, 2, 13, 8), (0, 8, 1, 4, 5, 9)]
+QUADS = "quads AS (SELECT p_partkey AS quad_id, " + ", ".join(f"({ax} + p_partkey * {mx} % {nx})::DOUBLE AS x{k}, ({ay} + p_partkey * {my} % {ny})::DOUBLE AS y{k}" for k, (ax, ay, mx, my, nx, ny) in enumerate(CORNERS)) + " FROM part)"

@@ -31,6 +31,6 @@ def test_whole_family(spark, sf):
     family = v.codes(spark, sf)
     codes = [r.code for r in family.collect()]
     want = min((a ^ b).bit_count() for i, a in enumerate(codes) for b in codes[:i])
-    assert [r.min_distance for r in queries()["family_min_distance_whole"](spark, sf).collect()] == [want]
+    assert [r.min_distance for r in queries()["family_min_distance"](spark, sf).collect()] == [want]
     one_off = family.unionByName(family.filter("id = 300").selectExpr("100000L AS id", "code ^ 1L AS code"))
     assert min_distance(one_off, v.NBITS, turns=False).first()[0] == 1
