@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, table
+from .shared import held_out, small_batches, table
 
 PIECE, CACHE, CHUNK = 1 << 20, 1 << 16, 4096
 #: A unit profile as whole numbers, so that sums do not depend on their order.
@@ -126,6 +126,7 @@ def learn(docs: DataFrame, per_lang: int = 3000, n: int = 3, dim: int = 1024) ->
     is the same on every run. Each task sums its texts by language, and the sums, no more than the sample has texts,
     are summed by language on executors; one vector for each language comes to the driver."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     size = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not size:
@@ -159,6 +160,7 @@ _profiles: dict[tuple, Profiles] = {}
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score, the cosine with the predicted language's prototype (0 where negative)."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"

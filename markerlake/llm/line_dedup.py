@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, drop_path, new_path, shuffle_partitions, table, written
+from .shared import broadcast_if_small, drop_path, new_path, shuffle_partitions, small_batches, table, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -163,6 +163,7 @@ class LineRuns:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs with the repeated lines gone from `text`, and n_lines (before) and n_dropped."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = new_path(spark, "line-keys")
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     line_keys(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)

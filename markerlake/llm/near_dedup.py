@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import MinHash, shingles, word_hashes
-from .shared import broadcast_if_small, shuffle_partitions, table, written
+from .shared import broadcast_if_small, shuffle_partitions, small_batches, table, written
 
 SIZE, DEPTH = 128, 12
 FIRST, MISS, BLOCK = 8, 1e-9, 128
@@ -436,6 +436,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, **forest: int
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 32, ahead: int = 1, least_prefix: int = 3, crowd: int = 8, wide: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    small_batches(docs.sparkSession)
     rows = written(signatures(docs, words), "near-signatures")
     solid = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = written(solid.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "near-copies")

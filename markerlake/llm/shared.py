@@ -66,6 +66,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most this many rows for the session, where it has no smaller ones: texts are long, and a batch
+    is held by the JVM and the Python worker at once."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """A broadcast hint, only where the counted rows are at most limit; else Spark's shuffled join stands."""
     return F.broadcast(df) if rows <= limit else df
