@@ -31,8 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs.filter(~held_out(F.col("doc_id"))))
     if not model["langs"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = predict(docs.withColumn("_own", F.struct(*docs.columns)).select("_own", "text"), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 3 / model["dim"] ** 0.5)).select("_own.*")
+    found = predict(docs, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 3 / model["dim"] ** 0.5)).select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
