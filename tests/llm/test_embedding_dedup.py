@@ -40,7 +40,7 @@ def test_cases(spark):
     rows += [(200 + i, 0, same) for i in range(7)] + [(300, 1, same), (301, None, same), (302, 0, None), (303, 0, []), (304, 0, [0.0] * 8), (305, 0, [float("nan")] + [1.0] * 7), (306, 0, same[:7]), (307, 0, [None] + same[1:]), (None, 0, same)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     want = brute(rows)
-    for more in ({}, {"block": 8}):
+    for more in ({}, {"block": 8}, {"per_pivot": 2}):
         got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup(df, **more).collect()), key=repr)
         assert got == want
     assert embedding_dedup(df.filter("vec_id = -1")).count() == 0
@@ -53,3 +53,27 @@ def test_table(spark, sf):
     links = sum(n for _, n, _ in want)
     assert sum(n for _, n, _ in got) >= 0.9 * links
     assert got == want
+
+
+def test_sizes_of_components(spark):
+    rnd = np.random.default_rng(2)
+    rows = []
+    for k, size in enumerate((1e300, 1e-300, 1.0)):
+        v = rnd.normal(size=6)
+        rows += [(10 * k + i, 0, (size * (v + rnd.normal(size=6) * 0.01)).tolist()) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df).collect()}
+    assert got == {10 * k + i: (2, 10 * k) for k in range(3) for i in range(3)}
+
+
+def test_recall_with_many_pivots(spark):
+    """All the pivots that the bound allows for a far larger table, held against brute force."""
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(400, 32))
+    v = np.repeat(base, 8, 0) + rnd.normal(size=(3200, 32)) * rnd.choice([0.03, 0.08, 0.12], 3200)[:, None]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup(df, per_pivot=1, root=60).collect()}
+    assert want.sum() > 1000
+    assert sum(got.values()) >= 0.9 * want.sum() and all(got[i] <= want[i] for i in got)
