@@ -77,20 +77,20 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 48_000_000, dictionary_size: int = 65_536) -> dict:
-    """A model from at most max_rows labelled texts, those with the smallest hashes of their ids, and of those no
-    more than max_bytes together; only these come to the driver. Every second one builds the dictionaries, the
-    others the curve."""
+    """A model from at most max_rows labelled texts, those with the smallest hashes of their ids, and of those, in this
+    order, no more than max_bytes together; only these come to the driver. Of a repeated id the least text counts.
+    Every second one builds the dictionaries, the others the curve."""
     marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_p"))
     chosen = marks.filter("_q = _p").select("doc_id", "_q", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("text", "_q", "_h")  # max_rows at most
-    texts: dict[int, tuple[bytes, int]] = {}
+    rows = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
+    rows = rows.groupBy("_h", "doc_id", "_q").agg(F.min("text").alias("text")).orderBy("_h", "doc_id")
+    ordered: list[tuple[bytes, int]] = []
     total = 0
     for r in rows.toLocalIterator():
         raw = r.text.encode()
-        if r._h not in texts and total + len(raw) <= max_bytes:
-            texts[r._h] = (raw, r._q)
+        if total + len(raw) <= max_bytes:
+            ordered.append((raw, r._q))
             total += len(raw)
-    ordered = [texts[h] for h in sorted(texts)]
     share = sum(q for _, q in ordered) / len(ordered) if ordered else 0.5
     first, second = ordered[::2], ordered[1::2]
     kinds = [[t for t, q in first if q == k] for k in (0, 1)]

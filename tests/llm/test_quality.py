@@ -28,3 +28,10 @@ def test_cases(spark):
     one = learn(docs, spark.createDataFrame([(1, 1), (3, 1), (3, 0), (2, None)], "doc_id long, quality int"))
     assert {r.predicted for r in score(docs, one).collect()} == {1}
     assert score(docs.filter("doc_id = 9"), none).count() == 0
+
+
+def test_model_is_the_same_in_any_order(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.select("doc_id", "text").unionByName(docs.selectExpr("doc_id", "concat(text, ' again') AS text"))
+    models = [learn(d, labels, max_rows=300, max_bytes=150_000) for d in (twice, twice.repartition(7).orderBy("text"))]
+    assert models[0]["dictionaries"] and models[0] == models[1]
