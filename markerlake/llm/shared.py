@@ -16,11 +16,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where it is unset, as in
-    local tests, a temporary folder stands in."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset a temporary folder stands
+    in on a local master only; a cluster's executors do not share one."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="markerlake-")
