@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
+
 #: Characters of documents whose words are merged together, and cached words at most (both bound memory).
 RUN_CHARS, CACHE_WORDS, LONG_TEXT, PIECE = 6_000_000, 400_000, 2_000_000, 65_536
 
@@ -289,7 +291,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
             ids = [list(chain.from_iterable(p)) for p in enc.ids(b.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -303,7 +305,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "de
             texts = [None if x is None else decode_ids(bpe, x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(released(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -327,4 +329,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[0], pa.int64()), *(pa.array(x, pa.string()) for x in rows[1:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, small_batches, table
+from .shared import held_out, released, small_batches, table
 
 PIECE, CACHE, CHUNK = 1 << 20, 1 << 16, 4096
 #: A unit profile as whole numbers, so that sums do not depend on their order.
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, per_lang: int = 3000, n: int = 3, dim: int = 1024) ->
         return pa.table({"lang": pa.array([key[0].as_py()]), "v": pa.array([v.tolist()], pa.list_(pa.int64()))})
 
     kind = "lang string, v array<long>"
-    sums = {r.lang: np.array(r.v, float) for r in sample.mapInArrow(bundle, kind).groupBy("lang").applyInArrow(total, kind).collect()}
+    sums = {r.lang: np.array(r.v, float) for r in sample.mapInArrow(released(bundle), kind).groupBy("lang").applyInArrow(total, kind).collect()}
     langs = sorted(sums)
     protos = np.array([sums[k] / max(np.linalg.norm(sums[k]), 1e-9) for k in langs], np.float32).reshape(len(langs), dim)
     return {"langs": langs, "prototypes": protos, "n": n, "dim": dim}
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 scores.append(min(1.0, max(0.0, float(cos[k]))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, drop_path, new_path, shuffle_partitions, small_batches, table, written
+from .shared import broadcast_if_small, drop_path, new_path, released, shuffle_partitions, small_batches, table, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -56,7 +56,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                     halves[1].append(int.from_bytes(h[8:], "little", signed=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, *halves)], names=["doc_id", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, h1 long, h2 long")
 
 
 _SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
@@ -203,7 +203,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*keep, "n_lines", "n_dropped"])
 
     found = docs.select(*keep).join(hits, F.col("doc_id").cast("long") == F.col(own_id), "left").drop(own_id)
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(released(run), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import MinHash, shingles, word_hashes
-from .shared import broadcast_if_small, shuffle_partitions, small_batches, table, written
+from .shared import broadcast_if_small, released, shuffle_partitions, small_batches, table, written
 
 SIZE, DEPTH = 128, 12
 FIRST, MISS, BLOCK = 8, 1e-9, 128
@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sig.append(minhash.signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def _orders(reps: DataFrame, trees: int, depth: int, some: range, *more: str) -> DataFrame:
@@ -107,7 +107,7 @@ def forest_candidates(reps: DataFrame, trees: int, some: range, ahead: int, leas
         yield from _neighbours(batches, ahead, least_prefix)
 
     # The key comes before the component in the order: neighbours are those of the longest prefix.
-    return _orders(reps, trees, DEPTH, some, "component").mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    return _orders(reps, trees, DEPTH, some, "component").mapInArrow(released(run), "a long, b long").filter("a < b").distinct()
 
 
 def _least_agreeing(share: float) -> int:
@@ -203,7 +203,7 @@ def crowded_places(reps: DataFrame, trees: int, crowd: int, least_prefix: int) -
         yield from _runs(batches, crowd)
 
     rows = _orders(reps, trees, least_prefix, range(trees), "component")
-    return rows.mapInArrow(run, "kind long, a long, b long, c long, t short, key binary")
+    return rows.mapInArrow(released(run), "kind long, a long, b long, c long, t short, key binary")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +216,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(n).filter(pa.array(near)) for n in "ab"], names=["a", "b"])
 
     x, y = (reps.select(F.col("doc_id").alias(i), F.col("sig").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
@@ -345,7 +345,7 @@ def region_links(docs: DataFrame, places: DataFrame, words: int, percent: int, w
     both = both.select(F.col("blockx").alias("x"), F.col("blocky").alias("y")).distinct()
     each = written(both.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")), "near-block-pairs")
     rows = dealt.join(broadcast_if_small(each, each.count()), "block").repartition(parts, "x", "y").sortWithinPartitions("x", "y")
-    return rows.select("x", "y", "block", *by, "s").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("x", "y", "block", *by, "s").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -358,7 +358,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "s"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, s array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, s array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, words: int) -> DataFrame:
@@ -419,7 +419,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     rows = need.join(sets, "doc_id").select("x", "y", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
     rows = rows.unionByName(dealt.withColumn("s", F.lit(None).cast("array<long>")))
     rows = rows.repartition(parts, "x", "y").sortWithinPartitions("x", "y", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, **forest: int) -> DataFrame:

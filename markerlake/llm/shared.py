@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(_BATCH, str(rows))
 
 
+def released(run):
+    """run, an Arrow function over batches, that at its end gives freed memory back to the system: an idle Python worker
+    shares its executor's memory with the JVM stages that follow. Results are those of run."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """A broadcast hint, only where the counted rows are at most limit; else Spark's shuffled join stands."""
     return F.broadcast(df) if rows <= limit else df

@@ -42,3 +42,13 @@ def test_stages_keep_columns_and_empty_tables(spark, sf):
         out = stage(spark, docs, sf)
         assert out.count() == 0
         assert name == "bpe" or out.columns == docs.columns
+
+
+def test_released_gives_the_same_batches_even_where_they_stop_early():
+    from markerlake.llm.shared import released
+
+    assert list(released(lambda batches: (2 * b for b in batches))([1, 2, 3])) == [2, 4, 6]
+    some = released(iter)([1, 2])
+    assert next(some) == 1
+    some.close()
+    assert list(released(iter)([])) == []
