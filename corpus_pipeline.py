@@ -18,6 +18,10 @@ from markerlake.llm.registry import tokenizer_path
 from markerlake.llm.shared import broadcast_if_small, held_out, table, written
 
 
+#: Letters below which a text is too short for its cosine to tell it from random vectors.
+SHORT = 40
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is among ids (doc_id)."""
     ids = written(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "pipeline-gone")
@@ -26,13 +30,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents to which no language can be given go: those without a letter, and those no more alike to any
-    language's prototype than random vectors are (three standard deviations, 3 / sqrt of their length). Where no lang
-    can be learnt from, all documents with a letter stay."""
+    language's prototype than random vectors are (three standard deviations, 3 / sqrt of their length), unless they
+    have fewer than SHORT letters. Where no lang can be learnt from, all documents with a letter stay."""
     model = learn(docs.filter(~held_out(F.col("doc_id"))))
     if not model["langs"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = predict(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 3 / model["dim"] ** 0.5)).select(*docs.columns)
+    short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < SHORT
+    return found.filter((F.col("lang_pred") != "und") & ((F.col("score") >= 3 / model["dim"] ** 0.5) | short)).select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
