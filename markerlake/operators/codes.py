@@ -116,15 +116,27 @@ def cells(boxes: DataFrame, x: str, y: str, side: float, around: bool = False) -
     return boxes.withColumn("_cell", near).select(*boxes.columns, "_cell.cx", "_cell.cy")
 
 
-def dominated(boxes: DataFrame, keys: list[str], overlaps: Column, grid: tuple[str, str, float] | None = None) -> DataFrame:
+def _best(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """The best box of each by: fewest errors, then largest margin (NaN is the largest), then smallest id; nulls last."""
+    m, i = F.col("margin"), F.col("box_id")
+    order = F.struct("hamming", F.struct(m.isNull(), ~F.isnan(m), -m), F.struct(i.isNull(), i), m.alias("margin"), i.alias("box_id"))
+    best = boxes.filter(F.col("hamming").isNotNull()).groupBy(*by).agg(F.min(order).alias("_b"))
+    return best.select(*by, "_b.hamming", "_b.margin", "_b.box_id")
+
+
+def dominated(boxes: DataFrame, keys: list[str], overlaps: Column, grid: tuple[str, str, float] | None = None, place: list[str] | None = None) -> DataFrame:
     """boxes without those that a better one of equal keys overlaps: fewer errors, then larger margin, then smaller
-    id. overlaps is a predicate over columns of a. and b.; grid (x, y, side) keeps boxes that are no larger than side
-    from meeting all others of equal keys."""
-    a, b = (cells(boxes, *grid), cells(boxes, *grid, around=True)) if grid else (boxes, boxes)
+    id; a comparison with null is not true, as in SQL. overlaps is a predicate over columns of a. and b.; grid (x, y,
+    side) keeps boxes that are no larger than side from meeting all others of equal keys. place: the columns that
+    overlaps reads, x and y of the grid among them; then only the best box of each place meets the others, as any box
+    that another of its place beats is also beaten by that best one. Both sides are shuffled, so none is held by the driver."""
+    best = _best(boxes, [*keys, *place]) if place else boxes
+    a, b = (cells(boxes, *grid), cells(best, *grid, around=True)) if grid else (boxes, best)
     a, b, on = a.alias("a"), b.alias("b"), [*keys, "cx", "cy"] if grid else keys
-    rank = lambda t: F.struct(F.col(f"{t}.hamming"), -F.col(f"{t}.margin"), F.col(f"{t}.box_id"))
+    (ah, am, ai), (bh, bm, bi) = ([F.col(f"{t}.{n}") for n in ("hamming", "margin", "box_id")] for t in "ab")
+    better = (bh < ah) | ((bh == ah) & ((bm > am) | ((bm == am) & (bi < ai))))
     same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in on))
-    return a.join(b, same & (rank("b") < rank("a")) & overlaps, "left_anti").select(*boxes.columns)
+    return a.join(b.hint("merge"), same & better & overlaps, "left_anti").select(*boxes.columns)
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

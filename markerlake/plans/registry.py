@@ -469,7 +469,7 @@ def _(spark, d):
 )
 def _(spark, d):
     over = (F.abs(F.col("a.x0") - F.col("b.x0")) < 5) & (F.abs(F.col("a.y0") - F.col("b.y0")) < 5)
-    return c.dominated(v.boxes(spark, d), ["fam"], over, ("x0", "y0", 6.0)).select("box_id")
+    return c.dominated(v.boxes(spark, d), ["fam"], over, ("x0", "y0", 6.0), ["x0", "y0"]).select("box_id")
 
 
 @query(

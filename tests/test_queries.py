@@ -34,3 +34,15 @@ def test_whole_family(spark, sf):
     assert [r.min_distance for r in queries()["family_min_distance"](spark, sf).collect()] == [want]
     one_off = family.unionByName(family.filter("id = 300").selectExpr("100000L AS id", "code ^ 1L AS code"))
     assert min_distance(one_off, v.NBITS, turns=False).first()[0] == 1
+
+
+def test_dominance_of_copies_and_nulls(spark, tmp_path):
+    """Many boxes on each place: SQL's rows, also for nulls and NaN, and no table of boxes at the driver."""
+    con = duckdb.connect()
+    con.execute("""CREATE VIEW part AS SELECT CASE WHEN i % 501 <> 0 THEN i END AS p_partkey, CASE WHEN i % 211 <> 0 THEN 'Brand#' || i // 7 % 3 END AS p_brand,
+      CASE WHEN i % 13 <> 0 THEN (i * 31 % 17 // 5)::INT END AS p_size, CASE WHEN i % 19 = 0 THEN NULL WHEN i % 97 = 0 THEN 'NaN'::DOUBLE ELSE i * 37 % 11 * -0.5 END AS p_retailprice FROM range(3000) t(i)""")
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet'")
+    df = queries()["reconcile_dominance"](spark, str(tmp_path))
+    got = sorted(map(repr, (r.box_id for r in df.collect())))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert got == sorted(repr(i) for (i,) in con.execute(oracle_sql()["reconcile_dominance"]).fetchall()) and len(got) > 6
