@@ -175,8 +175,10 @@ def rotate(px: DataFrame, radians: float, pad: int = 0) -> DataFrame:
 
 
 def draw_disc(px: DataFrame, x0: float, y0: float, r0: float, r1: float, value: int) -> DataFrame:
-    """Pixels between r0 and r1 of a centre take the value; r0 = 0 draws a full circle."""
-    d = (F.col("x") - x0) * (F.col("x") - x0) + (F.col("y") - y0) * (F.col("y") - y0)
+    """Pixels between r0 and r1 of a centre take the value; r0 = 0 draws a full circle. Distances are doubles, as the
+    square of a coordinate from 46,341 on is no int."""
+    dx, dy = F.col("x").cast("double") - x0, F.col("y").cast("double") - y0
+    d = dx * dx + dy * dy
     return px.withColumn("v", F.when(d.between(r0 * r0, r1 * r1), value).otherwise(F.col("v")))
 
 

@@ -46,3 +46,13 @@ def test_dominance_of_copies_and_nulls(spark, tmp_path):
     got = sorted(map(repr, (r.box_id for r in df.collect())))
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert got == sorted(repr(i) for (i,) in con.execute(oracle_sql()["reconcile_dominance"]).fetchall()) and len(got) > 6
+
+
+def test_disc_far_from_its_centre(spark):
+    from markerlake.operators.raster import draw_disc
+
+    far = 2**31 - 1
+    px = spark.createDataFrame([(0, y, x, 7) for y, x in ((5, 50), (8, 50), (5, 56), (5, 57), (46346, 50), (far, far), (-far, -far))], "image_id int, y int, x int, v int")
+    got = {(r.y, r.x): r.v for r in draw_disc(px, 50, 5, 3, 6, 200).collect()}
+    assert got == {(5, 50): 7, (8, 50): 200, (5, 56): 200, (5, 57): 7, (46346, 50): 7, (far, far): 7, (-far, -far): 7}
+    assert [r.v for r in draw_disc(px, far, far, 0, 1, 200).orderBy("y").collect()].count(200) == 1
