@@ -31,6 +31,8 @@ from .shared import released
 
 #: Characters of documents whose words are merged together, and cached words at most (both bound memory).
 RUN_CHARS, CACHE_WORDS, LONG_TEXT, PIECE = 6_000_000, 400_000, 2_000_000, 65_536
+#: The same for the library's words: characters looked up together, words known at most, words a text given to the library.
+LIBRARY_RUN, KNOWN_WORDS, LINES = 2_000_000, 600_000, 1024
 
 #: The pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,6 +60,11 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def _splitter(special: dict[str, int]) -> re.Pattern | None:
+    """Splits a text at special tokens, which are every second part."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+
 class PairIndexBPE:
     """A vocabulary with its merges, from a tokenizer's JSON file."""
 
@@ -87,7 +94,7 @@ class PairIndexBPE:
         order = np.argsort(left * self.size + right, kind="stable")
         self._keys = (left * self.size + right)[order]
         self._ranks, self._made = order.astype(np.int32), made
-        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split_special = _splitter(self.special)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, NONE where it has none or spans two words."""
@@ -172,10 +179,10 @@ class _Words(dict):
 
 
 class Encoder:
-    """Encodes texts piece by piece with a bounded cache of words. merge: gives the ids of a list of words."""
+    """Encodes texts piece by piece with a bounded cache of words."""
 
-    def __init__(self, bpe: PairIndexBPE, merge=None):
-        self.bpe, self.merge, self.words = bpe, merge or bpe.merge_words, _Words()
+    def __init__(self, bpe: PairIndexBPE):
+        self.bpe, self.words = bpe, _Words()
         self.whole = {t: [i] for t, i in bpe.special.items()}
 
     def pieces(self, text: str) -> Iterator[list[list[int]]]:
@@ -195,7 +202,7 @@ class Encoder:
     def fill(self) -> None:
         if self.words.pending:
             pending, self.words.pending = self.words.pending, []
-            for w, ids in zip(pending, self.merge(pending)):
+            for w, ids in zip(pending, self.bpe.merge_words(pending)):
                 self.words[w].extend(ids)
 
     def trim(self) -> None:
@@ -235,43 +242,159 @@ class Encoder:
         yield from flush()
 
 
-_loaded: dict[tuple, Encoder] = {}
+class _Numbers(dict):
+    """Words numbered in the order in which they are first seen."""
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        return k
+
+
+class LibraryEncoder:
+    """Encodes texts with the tokenizers library, which gives the ids of distinct words. Words are numbered, the ids of
+    all known ones lie in one array, and a run of texts gathers its ids from there at once. Too many words: those met
+    once since the last time go, the most used others stay."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation(), self.tok.no_padding()
+        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.split_special = _splitter(self.special)
+        self.words = _Numbers({t: k for k, t in enumerate(self.special)})  # no other word holds a special token's text
+        self.pool = np.array(list(self.special.values()), np.uint32)
+        self.starts, self.sizes, self.uses = np.arange(len(self.words)), np.ones(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+
+    def _numbers(self, text: str) -> Iterator[np.ndarray]:
+        """The words' numbers, piece by piece; fill() must run before their ids are read, and trim() after that."""
+        get = self.words.__getitem__
+        parts = self.split_special.split(text) if any(t in text for t in self.special) else [text]
+        for k, part in enumerate(parts):
+            if k % 2:
+                yield np.array([get(part)])
+            elif len(part) <= LONG_TEXT:
+                found = _pattern(part).findall(part)
+                yield np.fromiter(map(get, found), np.int64, len(found))
+            else:
+                found = _pattern(part).finditer(part)
+                while got := [get(m.group()) for m in islice(found, PIECE)]:
+                    yield np.array(got)
+
+    def _encode(self, words: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Positions of the words in a new order, and in that order their numbers of ids and their ids.
+        Words without inner white space go together as lines of one text: a line end is a pre-token of its own there, so
+        each keeps its ids, and one encoding serves hundreds. The others go one by one."""
+        plain = [k for k, w in enumerate(words) if len(w) > 1 and (w[0] == " " or not w[0].isspace()) and w[1:].split() == [w[1:]]] if len(self.newline) == 1 else []
+        order: list[int] = []
+        sizes: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        done = set()
+        for k in range(0, len(plain), LINES):
+            part = plain[k : k + LINES]
+            (e,) = self.tok.encode_batch_fast(["\n".join([words[p] for p in part])], add_special_tokens=False)
+            flat = np.array(e.ids, np.uint32)
+            at_line = flat == self.newline[0]
+            n = np.diff(np.flatnonzero(at_line), prepend=-1, append=len(flat)) - 1
+            if len(n) == len(part) and n.all():
+                order += part
+                sizes.append(n)
+                ids.append(flat[~at_line])
+                done.update(part)
+        rest = [k for k in range(len(words)) if k not in done]
+        for k in range(0, len(rest), LINES):
+            found = [e.ids for e in self.tok.encode_batch_fast([words[p] for p in rest[k : k + LINES]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids += [np.array(f, np.uint32) for f in found]
+        return order + rest, sizes, ids
+
+    def fill(self) -> None:
+        """Ids of the words numbered since the last time."""
+        known = len(self.starts)
+        if len(self.words) > known:
+            order, sizes, ids = self._encode(list(islice(self.words, known, None)))
+            n = np.concatenate(sizes)
+            here = np.empty((2, len(n)), np.int64)
+            here[:, order] = len(self.pool) + np.cumsum(n) - n, n
+            self.starts, self.sizes = np.concatenate((self.starts, here[0])), np.concatenate((self.sizes, here[1]))
+            self.uses = np.concatenate((self.uses, np.zeros(len(n), np.int64)))
+            self.pool = np.concatenate((self.pool, *ids))
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and where each word's ids end."""
+        n = self.sizes[numbers]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.starts[numbers] - (ends - n), n) + np.arange(int(n.sum()))], ends
+
+    def _taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.fill()
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        found = self._gather(numbers)
+        self.trim()
+        return found
+
+    def trim(self) -> None:
+        if len(self.words) <= KNOWN_WORDS and len(self.pool) <= 8 * KNOWN_WORDS:
+            return
+        stay = np.flatnonzero((self.uses > 1) & (self.sizes <= 64))
+        if len(stay) > KNOWN_WORDS // 2:
+            stay = np.sort(stay[np.argpartition(self.uses[stay], -(KNOWN_WORDS // 2))[-(KNOWN_WORDS // 2) :]])
+        if self.sizes[stay].sum() > 4 * KNOWN_WORDS:
+            stay = stay[:0]
+        first = len(self.special)
+        stay = np.concatenate((np.arange(first), stay[stay >= first]))
+        words = list(self.words)
+        self.words.clear()
+        self.words.update(zip([words[k] for k in stay.tolist()], range(len(stay))))
+        self.pool, ends = self._gather(stay)
+        self.sizes = self.sizes[stay]
+        self.starts, self.uses = ends - self.sizes, np.zeros(len(stay), np.int64)
+
+    def ids(self, texts: list[str | None]) -> Iterator[Iterator[np.ndarray]]:
+        """For each text an iterator over arrays of ids. Texts up to LIBRARY_RUN characters together are looked up
+        together; a longer one is taken piece by piece."""
+        run: list[np.ndarray] = []
+        counts: list[int] = []  # arrays of each text of the run
+        chars = 0
+
+        def flush():
+            if run:
+                ids, ends = self._taken(np.concatenate(run))
+                at = np.concatenate(([0], ends))[np.cumsum([0, *map(len, run)])].tolist()  # where each array's ids begin
+            k = 0
+            for n in counts:
+                yield iter([ids[at[k] : at[k + n]]] if n else [])
+                k += n
+
+        def long(text: str):
+            for numbers in self._numbers(text):
+                yield self._taken(numbers)[0]
+
+        for t in texts:
+            t = t or ""
+            if len(t) > LONG_TEXT:
+                yield from flush()
+                run, counts, chars = [], [], 0
+                yield long(t)
+                continue
+            before = len(run)
+            run += self._numbers(t)
+            counts.append(len(run) - before)
+            chars += len(t)
+            if chars >= LIBRARY_RUN:
+                yield from flush()
+                run, counts, chars = [], [], 0
+        yield from flush()
+
+
+_loaded: dict[tuple, Encoder | LibraryEncoder] = {}
 
 
-def encoder(path: str, library: bool = False) -> Encoder:
+def encoder(path: str, library: bool = False) -> Encoder | LibraryEncoder:
     """One encoder for each Python worker. library: the tokenizers library gives the ids of distinct words."""
     if (path, library) not in _loaded:
-        bpe = PairIndexBPE(path)
-        merge = None
-        if library:
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(path)
-            tok.no_truncation(), tok.no_padding()
-
-            newline = tok.encode("\n", add_special_tokens=False).ids
-
-            def merge(words: list[str]) -> list[list[int]]:
-                """Words without inner white space go together as lines of one text: a line end is a pre-token of its
-                own there, so each keeps its ids, and one encoding serves thousands. The others go one by one."""
-                found: list[list[int]] = [[] for _ in words]
-                plain = [k for k, w in enumerate(words) if not any(map(str.isspace, w[1:])) and (w[0] == " " or not w[0].isspace()) and len(w) > 1] if len(newline) == 1 else []
-                for k in range(0, len(plain), 4096):
-                    part = plain[k : k + 4096]
-                    ids = tok.encode_batch_fast(["\n".join(words[p] for p in part)], add_special_tokens=False)[0].ids
-                    at = 0
-                    for p in part:
-                        end = ids.index(newline[0], at) if p != part[-1] else len(ids)
-                        found[p] = ids[at:end]
-                        at = end + 1
-                rest = [k for k in range(len(words)) if not found[k]]
-                for k in range(0, len(rest), 4096):
-                    part = rest[k : k + 4096]
-                    for p, e in zip(part, tok.encode_batch_fast([words[p] for p in part], add_special_tokens=False)):
-                        found[p] = e.ids
-                return found
-
-        _loaded[path, library] = Encoder(bpe, merge)
+        _loaded[path, library] = LibraryEncoder(path) if library else Encoder(PairIndexBPE(path))
     return _loaded[path, library]
 
 

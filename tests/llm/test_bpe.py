@@ -49,6 +49,25 @@ def test_library_words(lib):
     assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_library_words_stay_known(lib, monkeypatch):
+    """Texts in runs and in pieces, with more words than are kept: ids as the library's, and frequent words still known."""
+    import markerlake.llm.bpe as m
+
+    for name, n in {"LONG_TEXT": 500, "PIECE": 7, "CACHE_WORDS": 40, "KNOWN_WORDS": 40, "LIBRARY_RUN": 300, "LINES": 5}.items():
+        monkeypatch.setattr(m, name, n, raising=False)
+    monkeypatch.setattr(m, "_loaded", {})
+    enc = m.encoder(tokenizer_path(), library=True)
+    t = "the quick brown fox's 12 jumps over\n\n  the lazy dog<|endoftext|> " * 60
+    texts = [*odd_texts(), "a b", t, None, t[:300], "é" * 5000, *(f"the dog and the w{k}x{k * k} of the" for k in range(300)), t, "x" * 700 + " the"]
+    for _ in range(2):
+        got = [[i for p in pieces for i in p] for pieces in enc.ids(texts)]
+        assert got == [lib.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for k in range(60):  # each call ends a run
+        list(enc.ids([f"the of the v{k}y{k * k} {k * 7919} of the"]))
+        assert len(enc.words) <= 40 + 10
+        assert k < 3 or " of" in enc.words
+
+
 def test_long_text(lib, monkeypatch):
     import markerlake.llm.bpe as m
 
